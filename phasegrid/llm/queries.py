@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import exact_dedup, fingerprints, licenses, mixing
+from phasegrid.llm import exact_dedup, fingerprints, licenses, mixing, near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.document_components(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
@@ -33,10 +37,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_mixing": mixing.SQL,
+    "op9_near_dedup": near_dedup.SQL,
 }
