@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import exact_dedup, fingerprints, licenses, mixing, near_dedup, quality, secret_scan
+from phasegrid.llm import exact_dedup, fingerprints, licenses, mixing, near_dedup, quality, secret_scan, sentencepiece_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.document_components(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_near_dedup": op9_near_dedup,
     "op10_license_scan": op10_license_scan,
 }
