@@ -55,9 +55,18 @@ def exact_groups(docs: DataFrame, hash_of=None) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each group of equal texts left: the one with the largest ``doc_id``."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The documents with one row of each group of equal texts left: the one with the largest ``doc_id``.
+
+    All columns stay. Where ids repeat, rows are told apart by their text too, and one of equal rows is left.
+    """
+    kept = cut(exact_groups(docs).where("kept").select(F.col("doc_id").alias("__pg_id"), F.col("text_sha256").alias("__pg_sha")))
+    rows, ids = kept.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("__pg_id").cast("string"), F.lit("null")))).first()
+    same_id = F.col("doc_id").eqNullSafe(F.col("__pg_id"))
+    if rows == ids:
+        return docs.join(kept.select("__pg_id"), same_id, "left_semi")
+    sha = F.sha2(normalised().cast("binary"), 256)
+    left = docs.withColumn("__pg_own", sha).join(kept.distinct(), same_id & (F.col("__pg_own") == F.col("__pg_sha")), "left_semi")
+    return left.dropDuplicates(["doc_id", "__pg_own"]).drop("__pg_own")
 
 
 SQL = f"""

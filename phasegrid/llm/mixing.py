@@ -200,14 +200,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     spans = spans.agg(
         F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"), F.sum("n_words").alias("n_taken")
     )
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("pass", "spans", "n_taken")).alias("passes"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "m_id"), F.col("doc_id").eqNullSafe(F.col("m_id")))
-    row = joined.select("*", F.explode("passes").alias("m"))
-    tokens = F.regexp_extract_all(whole("text"), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
-    some = F.array_join(
-        F.flatten(F.transform("m.spans", lambda s: F.slice(tokens, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")))), " "
+    spans = spans.groupBy(F.col("doc_id").alias("__pg_id")).agg(
+        F.collect_list(F.struct("pass", "spans", "n_taken")).alias("__pg_passes")
     )
-    text = F.when(F.col("m.n_taken") == word_count(whole("text")), F.col("text")).otherwise(some)
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__pg_id")))
+    row = joined.select("*", F.explode("__pg_passes").alias("__pg_m"))
+    tokens = F.regexp_extract_all(whole("text"), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
+    part = lambda w, s: F.slice(w, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int"))
+    parts = F.transform(F.array(tokens), lambda w: F.flatten(F.transform("__pg_m.spans", lambda s: part(w, s))))  # words once
+    some = F.array_join(F.element_at(parts, 1), " ")
+    text = F.when(F.col("__pg_m.n_taken") == word_count(whole("text")), F.col("text")).otherwise(some)
     fields = []
     for c in docs.columns:
         if c == "text":

@@ -161,5 +161,5 @@ def sample(docs: DataFrame, labels: DataFrame, key: int = KEY) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: int = KEY) -> DataFrame:
     """The rows of ``docs`` that the sample holds."""
-    kept = sample(docs, labels, key).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = sample(docs, labels, key).select(F.col("doc_id").alias("__pg_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__pg_id")), "left_semi")
