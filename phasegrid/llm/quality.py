@@ -95,7 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fit_rows: in
         raw[r.bucket], target[r.bucket] = r.raw, r.good
     if not target.sum():
         return np.full(buckets, 1e-9)
-    return np.log((target + SMOOTH) / (target.sum() + SMOOTH * buckets)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * buckets))
+    # The raw model is the target's prior, worth as many n-grams as there are buckets: without evidence the ratio is 1.
+    p_raw = np.maximum(raw, SMOOTH) / np.maximum(raw, SMOOTH).sum()
+    return np.log((target + buckets * p_raw) / (target.sum() + buckets)) - np.log(p_raw)
 
 
 def scored(docs: DataFrame, model: np.ndarray, key: int = KEY) -> DataFrame:
