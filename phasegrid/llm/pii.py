@@ -152,10 +152,11 @@ def surrogate(kind: str, text: str, gender: str = "", key: bytes = KEY, attempt:
     core = canonical(kind, text)
     if kind == "email":
         local, domain = core.split("@", 1)
-        new = same_pattern(local, label, key) + "@"
+        new = same_pattern(local, label, key)
+        new = "".join(n.upper() if o.isupper() else n for n, o in zip(new, text)) + "@"  # case as it is written
         reserved = domain == "example.com" or domain.endswith((".example.com", ".example.org", ".example.net", ".example"))
         new += domain if reserved else same_pattern(domain.rpartition(".")[0], label, key) + "." + domain.rpartition(".")[2] + ".example"
-        return new.upper() if text.isupper() else new
+        return new
     if kind == "phone":
         digits = re.sub(r"\D", "", text)
         return _refill(text, digits[: len(digits) - len(core)] + same_pattern(core, label, key))
