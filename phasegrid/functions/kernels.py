@@ -176,6 +176,56 @@ def _by_mass(labels: np.ndarray, w: np.ndarray) -> np.ndarray:
     return compress(np.where(mass[labels] > 0, labels, keep[0]))
 
 
+def regrouped(
+    t: Table,
+    fit: Fit,
+    c_bound: float,
+    rng: np.random.Generator,
+    smallest: float = 0.0,
+    auto: bool = False,
+    c_qual: float = math.inf,
+    loops: int = 300,
+) -> Fit:
+    """Dissolve clusters and descend again until there is none left to dissolve.
+
+    Those of fewer than ``smallest`` rows, all at once; with ``auto`` the smallest one that met the density bound among
+    the smaller half (of several clusters). Their rows start in random other clusters.
+    """
+    for _ in range(t.n):
+        size = np.round(fit.params.nu * t.n, 6)
+        if auto:
+            rank = np.array([(size < s).sum() + 1 for s in size])
+            out = [k for k in np.flatnonzero(fit.params.density_bound) if rank[k] <= len(size) // 2]
+            out = [min(out, key=lambda k: rank[k])] if out and len(size) > 1 else []
+        else:
+            out = list(np.flatnonzero(size < smallest))
+        if not out or fit.reo == 1:
+            return fit
+        kept = [k for k in range(fit.reo) if k not in out] or [0]
+        start = fit.labels.copy()
+        loose = np.isin(start, out)
+        start[loose] = rng.choice(kept, loose.sum())
+        fit = descend(t, start, fit.lam, c_bound, c_qual, loops)
+    return fit
+
+
+def by_focus(t: Table, focus: np.ndarray, fit_level) -> Fit:
+    """Separate fits of the levels of one category, put together: labels numbered on, parameters and H of the whole.
+
+    ``fit_level`` fits the rows of one level.
+    """
+    labels, at, lam, c_bound = np.zeros(t.n, np.int64), 0, 1.0, math.inf
+    for level in np.unique(focus):
+        rows = np.flatnonzero(focus == level)
+        part = Table(t.x[rows] if t.x.size else t.x, t.codes[rows] if t.codes.size else t.codes, t.levels, t.univariate)
+        fit, lam, c_bound = fit_level(part)
+        labels[rows] = fit.labels + at
+        at += fit.reo
+    params = parameters(t, labels, c_bound)
+    a, b = coefficients(t, labels, params)
+    return Fit(labels, params, a, b, lam)
+
+
 def multistart(
     t: Table,
     lam: float,

@@ -71,9 +71,10 @@ def bounded_covariance(
     positive = values[values > 0]
     values[values == 0] = positive.min() / 2 if len(positive) else 1.0
     target = least / var.prod()
+    out = fixed
     if values.prod() < target:
-        values = project_product(values, target)
-    out = (vectors * values) @ vectors.T * np.outer(root, root)
+        out = (vectors * project_product(values, target)) @ vectors.T * np.outer(root, root)
+        out = (out + out.T) / 2
     if not np.isfinite(out).all() or np.linalg.det(out) <= 0:
         return np.diag(var), True
     return out, True

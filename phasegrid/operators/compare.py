@@ -121,3 +121,14 @@ def compressed(df: DataFrame, label: str) -> Column:
     """Labels renumbered 1.. without gaps, as a literal map from the few labels there are."""
     found = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
     return F.create_map(*[F.lit(v) for k, x in enumerate(found) for v in (x, k + 1)])[F.col(label)]
+
+
+def path_distance(path: dict[float, str], others: dict[int, str], df: DataFrame) -> list[tuple[float, int, float | None]]:
+    """(lambda, clusters, match distance) of each weight's label column to the outside one with as many clusters, if any."""
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in set(path.values())]).first()
+    out = []
+    for lam, c in sorted(path.items()):
+        k = counts[c]
+        other = others.get(k)
+        out.append((lam, k, None if other is None else similarity(df, c, other).first()["distance"]))
+    return out

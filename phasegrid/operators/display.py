@@ -77,3 +77,26 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def categorical_columns(df: DataFrame) -> list[str]:
     return [n for n, t in df.dtypes if t in ("string", "boolean")]
+
+
+def evolution_1d(df: DataFrame, z: str, labels: dict[float, str], subset: Sequence[float] | None = None) -> DataFrame:
+    """Long table ``lambda, z, cluster`` of several weights' labels, each renamed to match the weight before.
+
+    With ``subset``, other weights show the last chosen one at or below them.
+    """
+    from phasegrid.operators import compare
+
+    order = sorted(labels)
+    shown = {v: max((u for u in subset if u <= v), default=min(subset)) if subset else v for v in order}
+    last = None
+    for v in order:
+        c = labels[v]
+        if last is None:
+            df = df.withColumn(f"_e{order.index(v)}", F.col(c).cast("int"))
+        else:
+            names = compare.relabelled_to_reference(df, c, last)
+            mapped = F.create_map(*[F.lit(x) for pair in names for x in pair])[F.col(c)]
+            df = df.withColumn(f"_e{order.index(v)}", mapped.cast("int"))
+        last = f"_e{order.index(v)}"
+    each = [F.struct(F.lit(float(v)).alias("lambda"), F.col(f"_e{order.index(shown[v])}").alias("cluster")) for v in order]
+    return df.select(F.col(z).alias("z"), F.explode(F.array(*each)).alias("e")).select("e.lambda", "z", "e.cluster")

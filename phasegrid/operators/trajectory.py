@@ -87,8 +87,7 @@ def repair_c_fold(pdf: pd.DataFrame, evaluate: dict, tol: float = TOLERANCE) ->
     pdf = pdf.sort_values("c", kind="stable").reset_index(drop=True)
     run, c, lam = list(pdf["run"]), list(pdf["c"]), float(pdf["lambda"].iloc[0])
     score = lambda r, k: evaluate[(r, k)][0] + evaluate[(r, k)][1] / lam
-    for order in (range(1, len(c)), range(len(c) - 2, -1, -1)):
-        step = 1 if order.start == 1 else -1
+    for step, order in ((1, range(1, len(c))), (-1, range(len(c) - 2, -1, -1))):
         for i in order:
             j = i - step
             if (run[j], c[i]) in evaluate and score(run[j], c[i]) < score(run[i], c[i]) - tol:

@@ -145,10 +145,23 @@ def _alternate(t: Table, s: Settings, rows: list[dict], rounds: int) -> list[tup
         return n
 
     log: list[tuple] = []
+    by_lambda = [sorted((r for r in rows if r["lambda"] == v), key=lambda r: r["c"]) for v in s.lambdas]
+    by_c = [sorted((r for r in rows if r["c"] == c), key=lambda r: r["lambda"]) for c in s.bounds]
+
+    def along_lambda() -> int:
+        """Each bound's own trajectory, until it is stable."""
+        total = 0
+        for line in by_c:
+            for _ in range(100):
+                n = sweep(line, "lambda")
+                total += n
+                if not n:
+                    break
+        return total
+
+    along_lambda()
     for _ in range(rounds):
-        by_lambda = [sorted((r for r in rows if r["lambda"] == v), key=lambda r: r["c"]) for v in s.lambdas]
-        by_c = [sorted((r for r in rows if r["c"] == c), key=lambda r: r["lambda"]) for c in s.bounds]
-        if not sum(sweep(x, "c") for x in by_lambda) or not sum(sweep(x, "lambda") for x in by_c):
+        if not sum(sweep(line, "c") for line in by_lambda) or not along_lambda():
             break
     for r in rows:
         r["h"] = score(r["labels"], r["c"], r["lambda"])

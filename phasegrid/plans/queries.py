@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from phasegrid.functions import expressions as ex
 from phasegrid.functions.kernels import Params
-from phasegrid.operators import cells, compare, diagnose, display, mstep, predict, trajectory
-from phasegrid.plans import bound_grid, descent, paths
+from phasegrid.operators import cells, compare, diagnose, display, mstep, predict, starts, trajectory
+from phasegrid.plans import bound_grid, descent, icl, paths
 from phasegrid.plans.descent import Run, Spec
 from phasegrid.sources import features, generators
 
@@ -769,6 +769,57 @@ def best_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.best_row(diagnose.apply_thresholds(derived(spark, sf_dir, CELLS), 0.7504, 0.7904, 0.0504)).select("c", "lambda", "reo")
 
 
+def _em_sql(loops: int) -> str:
+    out = ["m0(k, w, m, v) AS (VALUES (1, 0.5, 1.0, 1.0), (2, 0.5, 3.0, 1.0))", "z AS (SELECT o_orderkey AS id, o_totalprice / 100000 AS z FROM orders)"]
+    for i in range(loops):
+        out.append(f"d{i} AS (SELECT id, z, k, w * exp(-0.5 * (z - m) * (z - m) / v) / sqrt(2 * pi() * v) AS p FROM z, m{i})")
+        out.append(f"r{i} AS (SELECT id, z, k, p, p / sum(p) OVER (PARTITION BY id) AS r FROM d{i})")
+        out.append(f"s{i} AS (SELECT k, sum(r) / (SELECT count(*) FROM z) AS w, sum(r * z) / sum(r) AS m FROM r{i} GROUP BY k)")
+        out.append(f"m{i + 1} AS (SELECT r.k, any_value(s.w) AS w, any_value(s.m) AS m, sum(r * (z - s.m) * (z - s.m)) / sum(r) AS v FROM r{i} r JOIN s{i} s ON r.k = s.k GROUP BY r.k)")
+    return "WITH " + ", ".join(out) + f" SELECT CAST(k AS INT) AS k, round(w, 6) AS w, round(m, 6) AS m, round(v, 6) AS v FROM m{loops}"
+
+
+@query("em_iterations", _em_sql(3))
+def em_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three EM iterations of a two-component mixture of all orders' prices."""
+    df = table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 100000).alias("z"))
+    m = starts.Mixture(np.array([0.5, 0.5]), np.array([[1.0], [3.0]]), np.ones((2, 1)), np.zeros((2, 0, 0)))
+    m = starts.em(df, m, ["z"], loops=3, tol=0.0)
+    rows = [(k + 1, float(m.weight[k]), float(m.mean[k, 0]), float(m.var[k, 0])) for k in range(2)]
+    return rounded(spark.createDataFrame(rows, "k int, w double, m double, v double"))
+
+
+@query("soft_starts", "SELECT CAST(3 AS BIGINT) AS clusters, true AS sums_to_one, true AS none_negative, true AS even, count(*) AS n FROM events")
+def soft_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random soft assignments of all events: rows add up to 1 and clusters weigh about the same."""
+    df = table(spark, sf_dir, "events").select(starts.random_soft("event_id", 3, 5).alias("phi"))
+    total = F.aggregate("phi", F.lit(0.0), lambda a, b: a + b)
+    mean = [F.avg(F.col("phi")[k]) for k in range(3)]
+    return df.agg(
+        F.max(F.size("phi")).cast("long").alias("clusters"), (F.max(F.abs(total - 1)) < 1e-9).alias("sums_to_one"), (F.min(F.array_min("phi")) >= 0).alias("none_negative"),
+        (F.greatest(*mean) - F.least(*mean) < 0.05).alias("even"), F.count("*").alias("n"),
+    )
+
+
+@query(
+    "path_distance",
+    f"""WITH c AS (SELECT count(DISTINCT {_RUNS_SQL['r0']}) AS k FROM lineitem) SELECT CAST(lam AS DOUBLE) AS lambda, k AS k_hat, CAST(0 AS DOUBLE) AS distance FROM c, (SELECT unnest([0.1, 0.2]) AS lam)""",
+)
+def path_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of a path's partitions to an outside one with as many clusters (the same up to names: 0)."""
+    df = _run_labels(spark, sf_dir).withColumn("other", 10 - F.col("r0"))
+    k = df.agg(F.count_distinct("r0")).first()[0]
+    rows = compare.path_distance({0.1: "r0", 0.2: "other"}, {k: "other"}, df)
+    return spark.createDataFrame(rows, "lambda double, k_hat long, distance double")
+
+
+@query("icl_components")
+def icl_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BIC and ICL of normal mixtures of all customers' balances; tested on separated components."""
+    df = table(spark, sf_dir, "customer").select("c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
+    return rounded(icl.icl_path(df, ["c_acctbal", "nation"], [1, 2, 3], loops=10)[0])
+
+
 @query("multistart_best")
 def multistart_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best of three distributed descents over all orders' prices, in lock step; tested by its invariants."""
