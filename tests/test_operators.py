@@ -254,7 +254,7 @@ def test_em_on_mixed_columns(spark):
 def test_components_by_icl(spark):
     from phasegrid.plans import icl
 
-    df = generators.gaussian_mixture(spark, 600, means=[-6.0, 6.0], sds=[1.0, 1.0]).select("z", "component", F.sin("id").alias("y"))
+    df = generators.gaussian_mixture(spark, 600, means=[-6.0, 6.0], sds=[1.0, 1.0]).select("z", "component", generators.normal(F.col("id"), 77).alias("y"))
     table, rows = icl.icl_path(df, ["z", "y"], [1, 2, 3])
     best = table.orderBy(F.col("icl").desc()).first()
     assert best.g == 2 and compare.similarity(rows, "component", "cluster").first().similarity > 0.99
