@@ -5,12 +5,13 @@
 2. Inverted lists of retained values generate candidates. Two sets with resemblance 0.8 or more share at least
    ``needed`` retained values: ceil(0.8 n) when n <= 40 (exactly), 32 of 64 otherwise (of the 64 smallest hashes of the
    union, a share of 0.8 lies in both; fewer than 32 has probability 2e-7 for a pair right at 0.8, less above). So they
-   share one of each one's ``size - needed + 1`` rarest retained values, rarity being the value's count over all
-   representatives. Only those enter the lists; values that only one document holds need none.
-3. A list links its members to its smallest and its largest one, not to each other. The union sketch estimates each
-   candidate's resemblance and drops those below 0.5; texts of the others are compared exactly, on full sets.
-4. Connected components of the confirmed links (alternating large and small stars). Members of a list that are still in
-   different components are then compared in blocks, in full, so no link is lost: most lists have none left.
+   share three (or all that are needed) of each one's ``size - needed + 3`` rarest retained values, rarity being the
+   value's count over all representatives. Only those enter the lists; values that only one document holds need none.
+3. Lists of more than ``SHORT`` members link them to their smallest and largest one, not to each other; components of
+   what is confirmed collapse the large groups. Then pairs of different components are compared too, so no link is lost:
+   those that meet in three short lists, and those of long lists in blocks.
+4. The union sketch estimates each candidate's resemblance and drops those below 0.5; texts of the others are compared
+   exactly, on full sets. Components are found by alternating large and small stars.
 
 All counts are over all documents; nothing is capped. Components, links and sketches stay in DataFrames.
 
@@ -29,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import cut
+from phasegrid.llm.common import cut, release
 
 K = 64
 NEEDED = 32
+MEET = 3
+SHORT = 64
 BLOCK = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CACHE_WORDS = 400_000
@@ -136,17 +139,19 @@ def _verifier(percent: int, size: int):
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int = 80, k: int = K, size: int = 2) -> DataFrame:
     """The pairs (a, b) of ``doc_id`` whose full shingle sets have the resemblance asked for."""
-    side = reps.select("rep", "n", "sketch")
-    a = side.select(*[F.col(c).alias(f"a_{c}") for c in side.columns])
-    b = side.select(*[F.col(c).alias(f"b_{c}") for c in side.columns])
-    joined = pairs.join(a, F.col("a") == F.col("a_rep")).join(b, F.col("b") == F.col("b_rep"))
+    for x in "ab":  # sizes first: they are small and rule out most pairs
+        pairs = pairs.join(reps.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n")), x)
+    pairs = pairs.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).select("a", "b")
+    for x in "ab":
+        pairs = pairs.join(reps.select(F.col("rep").alias(x), F.col("sketch").alias(f"{x}_sketch")), x)
     union = F.slice(F.sort_array(F.array_union("a_sketch", "b_sketch")), 1, k)
     shared = F.size(F.array_intersect(union, F.array_intersect("a_sketch", "b_sketch")))
-    alike = joined.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-    alike = alike.where(shared * 2 >= F.size(union)).select("a", "b")
+    alike = cut(pairs.where(shared * 2 >= F.size(union)).select("a", "b"))
+    release(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), "text")
     needed = alike.select(F.explode(F.array("a", "b")).alias("t_id")).distinct()
     texts = cut(texts.join(needed, "t_id", "left_semi").dropDuplicates(["t_id"]))
+    release(docs.sparkSession)
     ta, tb = texts.select(F.col("t_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("t_id").alias("b"), F.col("text").alias("tb"))
     both = alike.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_verifier(percent, size), "a long, b long")
@@ -213,34 +218,50 @@ def document_components(docs: DataFrame, percent: int = 80, k: int = K, size: in
     held = values.join(shared, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     kept = F.least("n", F.lit(k))
     needed = F.least(F.ceil(F.col("n") * 0.8).cast("long"), F.lit(NEEDED))
-    prefix = kept - needed + 1 - (kept - F.size("vs"))  # values of one document come first and need no list
+    meet = F.least(needed, F.lit(MEET))
+    prefix = kept - needed + meet - (kept - F.size("vs"))  # values of one document come first and need no list
     chosen = F.slice("vs", 1, F.greatest(prefix, F.lit(0)).cast("int"))
-    postings = cut(held.select("rep", F.explode(chosen).alias("x")).select("rep", F.col("x.v").alias("v")))
-    ends = postings.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    stars = postings.join(ends, "v")
+    postings = cut(
+        held.select("rep", meet.alias("meet"), F.explode(chosen).alias("x")).select("rep", "meet", F.col("x.v").alias("v"))
+    )
+    release(docs.sparkSession)
+    sizes = postings.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("m"))
+    postings = cut(postings.join(sizes.where("m > 1"), "v"))
+    stars = postings.where(F.col("m") > SHORT)
     stars = stars.select(F.col("lo").alias("a"), F.col("rep").alias("b")).unionByName(
         stars.select(F.col("rep").alias("a"), F.col("hi").alias("b"))
     )
     links = cut(confirmed(_tidy(stars), reps, docs, percent, k, size))
+    release(docs.sparkSession)
     spread = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top")
     twins = of.join(spread, "doc_id")  # rows that repeat an id with other texts
     links = links.unionByName(twins.select(F.col("rep").alias("a"), "b").where("a <> b"))
     found = cut(components(links))
-    # What the stars left: members of a list in different components.
+    # Members of a list in different components.
     at = postings.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "v", "rep", F.coalesce("component", "rep").alias("component")
+        "v", "rep", "meet", "m", F.coalesce("component", "rep").alias("component")
+    )
+    open_lists = at.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    at = cut(at.join(open_lists.select("v"), "v"))
+    release(docs.sparkSession)
+    short = at.where(F.col("m") <= SHORT)
+    other = short.select("v", F.col("rep").alias("b"), F.col("component").alias("b_component"), F.col("meet").alias("b_meet"))
+    pairs = short.join(other, "v").where("rep < b AND component <> b_component")
+    pairs = pairs.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("n"), F.min(F.least("meet", "b_meet")).alias("meet"))
+    pairs = pairs.where("n >= meet").select("a", "b")
+    members = at.where(F.col("m") > SHORT).select("v", "rep", "component", F.ceil(F.col("m") / BLOCK).alias("blocks")).join(reps, "rep")
+    others = members.select(
+        "*", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     )
-    open_lists = at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-    open_lists = open_lists.where("lo < hi AND m > 2").select("v", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    members = at.join(open_lists, "v").join(reps, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    others = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     columns = ["rep", "n", "component", "sketch"]
     left = others.select("v", F.col("block").alias("i"), F.col("other").alias("j"), *columns)
     right = others.select(
         F.col("v").alias("rv"), F.col("other").alias("ri"), F.col("block").alias("rj"), *[F.col(c).alias(f"r_{c}") for c in columns]
     )
     rest = left.groupBy("v", "i", "j").cogroup(right.groupBy("rv", "ri", "rj")).applyInPandas(_rest(k, BLOCK), "a long, b long")
-    more = cut(confirmed(_tidy(rest), reps, docs, percent, k, size))
+    rest = cut(_tidy(rest.unionByName(pairs)))
+    release(docs.sparkSession)
+    more = cut(confirmed(rest, reps, docs, percent, k, size))
     if not more.isEmpty():
         joined = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(joined.unionByName(more))
@@ -257,8 +278,8 @@ def document_components(docs: DataFrame, percent: int = 80, k: int = K, size: in
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The documents with one of each component left: the one with the smallest ``doc_id``."""
-    kept = document_components(docs, percent, K, size).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = document_components(docs, percent, K, size).where("kept").select(F.col("doc_id").alias("__pg_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__pg_id")), "left_semi")
 
 
 SQL = r"""
