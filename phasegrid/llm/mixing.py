@@ -196,7 +196,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     ``n_chars``, if there, is that of the new text. Needs a unique ``doc_id``.
     """
     place, parts, drawn = plan(docs)
-    spans = parts.join(drawn.select("rank", "block_index", "pass"), ["rank", "block_index"]).groupBy("doc_id", "pass")
+    # Slots come out of a few rows of chunks, so the planner takes them for few and would broadcast them: they aren't.
+    times = drawn.select("rank", "block_index", "pass").hint("merge")
+    spans = parts.join(times, ["rank", "block_index"]).groupBy("doc_id", "pass")
     spans = spans.agg(
         F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"), F.sum("n_words").alias("n_taken")
     )
