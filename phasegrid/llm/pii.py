@@ -3,18 +3,20 @@
 A surrogate is the image of the entity's canonical form under a keyed permutation of all forms of its pattern (letters
 stay letters of their script and case, vowels vowels, digits digits, separators stay), so equal entities get equal
 surrogates in every document (coreference) and different ones different surrogates (distinctness), without a table of
-entities that grows with the corpus. The permutation is a balanced Feistel network over the pattern's numbers, with
-cycle walking down to the forms that are valid: a card keeps its issuer digit and Luhn check, an address its being public
-or private, an IBAN its country and check sum. A given name of a known gender becomes another of that gender; other
-names keep their endings, which carry gender in many languages.
+entities that grows with the corpus. The permutation is a single cycle through the pattern's numbers (a step of one
+between a balanced Feistel network and its inverse), walked on to the forms that are valid: a card keeps its issuer digit
+and Luhn check, an address its being public or private, an IBAN its country and check sum. Names are mapped word by word,
+whatever the title or place: a given name of a known gender becomes another of that gender; other words keep their
+endings, which carry gender in many languages, and never become one of those given names.
 
-*Collisions.* Each document's entities are checked: two that would get one surrogate are told apart by drawing the later
-one again under a numbered tweak. ``collisions`` runs the same check over the whole corpus, as a grouping.
+*Collisions* can't happen: each kind's map is one to one over all canonical forms, in no way depends on the document, and
+as a cycle leaves nothing in place, so nothing is ever drawn again. ``collisions`` verifies that over a corpus.
 
 Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment cards (Luhn), US social security numbers, IBANs,
 and personal names after a form of address. Map-only, one document at a time.
 
-Defined cases: a null text stays null with no entities; text without entities is returned unchanged; null ids and
+Defined cases: an entity with nothing to exchange (``_@example.com``) has no other form and is listed as its own
+surrogate; a null text stays null with no entities; text without entities is returned unchanged; null ids and
 repeated rows are rows like any other; an empty table gives an empty result; further columns are kept by ``replaced``.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,10 +44,13 @@ _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0
 _CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)")
 _SSN = re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Signor|Senhor|господин|г-н"
-_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Signora|Senhora|госпожа|г-жа"
+_TITLES = (
+    "Mr|Herr|Herrn|Monsieur|Señor|Sr|Signor|Senhor|господин|г-н"
+    "|Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Signora|Senhora|госпожа|г-жа"
+    "|Dr|Prof"
+)
 _NAME = re.compile(
-    rf"(?<!\w)({_MALE}|{_FEMALE}|Dr|Prof)\.? ((?:[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)(?:[ -][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+){{0,2}})"
+    rf"(?<!\w)({_TITLES})\.? ((?:[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)(?:[ -][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+){{0,2}})"
 )
 
 _GIVEN = {
@@ -55,10 +61,12 @@ _GENDER = {n: g for g, names in _GIVEN.items() for n in names}
 #: Alphabets within which letters are exchanged.
 _ALPHABETS = [
     "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "àâäáãèéêëìíîïòóôöõùúûü",
-    "ÀÂÄÁÃÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
-    "αεηιοωυ", "βγδζθκλμνξπρστφχψ",
+    "ÀÂÄÁÃÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜ", "åæøýÿ", "ÅÆØÝ", "çðñþß", "ÇÐÑÞ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ",
+    "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "ёѐѝ", "ЁЀЍ", "ъь", "ЪЬ", "αεηιοωυ", "βγδζθκλμνξπρστφχψ",
 ]
 _CLASS = {c: a for a in _ALPHABETS for c in a}
+#: (network, bits below it) of the private IPv4 addresses.
+_PRIVATE = [(10, 24), (172 << 4 | 1, 20), (192 << 8 | 168, 16)]
 
 
 def _mix(key: bytes, label: str, r: int, value: int) -> int:
@@ -66,7 +74,11 @@ def _mix(key: bytes, label: str, r: int, value: int) -> int:
 
 
 def permuted(x: int, n: int, label: str, key: bytes = KEY) -> int:
-    """Image of x under a keyed permutation of 0..n-1 (Feistel over two halves of the bits, walked into range)."""
+    """Image of x under a keyed permutation of 0..n-1 that is one cycle, so nothing is its own image if n > 1.
+
+    A Feistel network over two halves of the bits, walked into range, takes x to its place on the cycle; its inverse
+    takes the next place back to a number.
+    """
     if n < 2:
         return x
     half = max(1, ((n - 1).bit_length() + 1) // 2)
@@ -76,14 +88,32 @@ def permuted(x: int, n: int, label: str, key: bytes = KEY) -> int:
         for r in range(ROUNDS):
             a, b = b, a ^ (_mix(key, label, r, b) & mask)
         x = a << half | b
+        if x < n:
+            break
+    x = (x + 1) % n
+    while True:
+        a, b = x >> half, x & mask
+        for r in reversed(range(ROUNDS)):
+            a, b = b ^ (_mix(key, label, r, a) & mask), a
+        x = a << half | b
         if x < n:
             return x
 
 
+@lru_cache(maxsize=10_000)
+def _alphabet(c: str) -> str | None:
+    """The characters that one is exchanged with; outside the known alphabets those of its kind in its block of 128."""
+    if c in _CLASS or c.isascii() or not c.isalnum():
+        return _CLASS.get(c)
+    alike = lambda d: unicodedata.category(d) == unicodedata.category(c) and d not in _CLASS and d.upper().lower() == d.lower() == d
+    block = "".join(d for d in map(chr, range(ord(c) & ~127, (ord(c) & ~127) + 128)) if alike(d))
+    return block if c in block else None
+
+
 def same_pattern(text: str, label: str, key: bytes = KEY, fixed=()) -> str:
     """Image of a string under a keyed permutation of the strings of its pattern; positions in ``fixed`` stay."""
-    alphabets = [None if i in fixed else _CLASS.get(c) for i, c in enumerate(text)]
-    pattern = "".join(c if a is None else f"\x00{_ALPHABETS.index(a)}\x00" for c, a in zip(text, alphabets))
+    alphabets = [None if i in fixed else _alphabet(c) for i, c in enumerate(text)]
+    pattern = "".join(c if a is None else f"\x00{a[0]}\x00" for c, a in zip(text, alphabets))
     x, n = 0, 1
     for c, a in zip(text, alphabets):
         if a:
@@ -99,7 +129,10 @@ def same_pattern(text: str, label: str, key: bytes = KEY, fixed=()) -> str:
 
 
 def _walk(text: str, label: str, key: bytes, valid, fixed=()) -> str:
-    """``same_pattern``, repeated until the result is valid; a permutation of the valid strings of the pattern."""
+    """``same_pattern``, repeated until the result is valid: a cycle through the valid strings of the pattern.
+
+    The text must be valid itself; a second one that isn't would end at the same string.
+    """
     while True:
         text = same_pattern(text, label, key, fixed)
         if valid(text):
@@ -115,6 +148,10 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_check(country: str, body: str) -> str:
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
+
+
 def _refill(form: str, characters: str) -> str:
     """The form with its letters and digits replaced in order."""
     it = iter(characters)
@@ -122,17 +159,14 @@ def _refill(form: str, characters: str) -> str:
 
 
 def _address(octets: list[int], label: str, key: bytes) -> str:
-    def kind(v: int) -> tuple:
-        a, b = v >> 24, v >> 16 & 255
-        private = a == 10 or (a == 172 and 16 <= b < 32) or (a == 192 and b == 168)
-        return private, a if private else 1 <= a < 224 and a != 127
-
     v = octets[0] << 24 | octets[1] << 16 | octets[2] << 8 | octets[3]
-    want = kind(v)
+    public = lambda v: 1 <= v >> 24 < 224 and v >> 24 != 127
+    bits = next((b for net, b in _PRIVATE if v >> b == net), 32)
+    new = v
     while True:
-        v = permuted(v, 1 << 32, label, key)
-        if kind(v) == want:
-            return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
+        new = v >> bits << bits | permuted(new & (1 << bits) - 1, 1 << bits, f"{label}|{v >> bits}", key)
+        if bits < 32 or public(new) == public(v) and all(new >> b != net for net, b in _PRIVATE):
+            return ".".join(str(new >> s & 255) for s in (24, 16, 8, 0))
 
 
 def canonical(kind: str, text: str) -> str:
@@ -140,74 +174,71 @@ def canonical(kind: str, text: str) -> str:
     if kind == "phone":
         d = re.sub(r"\D", "", text)
         return d[-10:] if len(d) in (10, 11) else d
-    if kind in ("card", "iban"):
+    if kind == "iban":
+        s = text.replace(" ", "")
+        return s[:2] + _iban_check(s[:2], s[4:]) + s[4:]  # 00, 01 and 99 pass as 97, 98 and 02
+    if kind == "card":
         return re.sub(r"[ -]", "", text)
     return text.lower() if kind == "email" else text
 
 
 @lru_cache(maxsize=100_000)
-def surrogate(kind: str, text: str, gender: str = "", key: bytes = KEY, attempt: int = 0) -> str:
-    """The replacement of an entity as it is written."""
-    label = f"{kind}|{attempt}"
+def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
+    """The replacement of an entity as it is written; one to one over the canonical forms of a kind."""
     core = canonical(kind, text)
     if kind == "email":
         local, domain = core.split("@", 1)
-        new = same_pattern(local, label, key)
+        new = same_pattern(local, kind, key)
         new = "".join(n.upper() if o.isupper() else n for n, o in zip(new, text)) + "@"  # case as it is written
-        reserved = domain == "example.com" or domain.endswith((".example.com", ".example.org", ".example.net", ".example"))
-        new += domain if reserved else same_pattern(domain.rpartition(".")[0], label, key) + "." + domain.rpartition(".")[2] + ".example"
+        # Names under .example are what others become, so they are replaced like those: kept, two could meet in one.
+        reserved = domain == "example.com" or domain.endswith((".example.com", ".example.org", ".example.net"))
+        new += domain if reserved else same_pattern(domain.rpartition(".")[0], kind, key) + "." + domain.rpartition(".")[2] + ".example"
         return new
     if kind == "phone":
         digits = re.sub(r"\D", "", text)
-        return _refill(text, digits[: len(digits) - len(core)] + same_pattern(core, label, key))
+        return _refill(text, digits[: len(digits) - len(core)] + same_pattern(core, kind, key))
     if kind == "card":
         n = len(core)
-        body = same_pattern(core[:-1], label, key, fixed=(0,))
+        body = same_pattern(core[:-1], kind, key, fixed=(0,))
         check = next(c for c in "0123456789" if luhn(body + c))
         return _refill(text, body + check if n else "")
     if kind == "ssn":
-        return _walk(text, label, key, lambda s: bool(_SSN.fullmatch(s)))
+        return _walk(text, kind, key, lambda s: bool(_SSN.fullmatch(s)))
     if kind == "iban":
-        body = same_pattern(core[4:], label, key)
-        check = 98 - int("".join(str(int(c, 36)) for c in body + core[:2] + "00")) % 97
-        return _refill(text, f"{core[:2]}{check:02d}{body}")
+        body = same_pattern(core[4:], kind, key)
+        return _refill(text, f"{core[:2]}{_iban_check(core[:2], body)}{body}")
     if kind == "ip":
-        return _address([int(x) for x in text.split(".")], label, key)
-    parts = re.split(r"([ -])", text)
+        return _address([int(x) for x in text.split(".")], kind, key)
     out = []
-    for i, p in enumerate(parts):
+    for p in re.split(r"([ -])", text):
         if p in (" ", "-", ""):
             out.append(p)
-        elif p in _GENDER and i == 0 and len(parts) > 1:
+        elif p in _GENDER:
             names = _GIVEN[_GENDER[p]]
-            out.append(names[permuted(names.index(p), len(names), f"{label}|{_GENDER[p]}", key)])
+            out.append(names[permuted(names.index(p), len(names), f"{kind}|{_GENDER[p]}", key)])
         else:
             last = tuple(k for k in (len(p) - 1, len(p) - 2) if k > 1)
-            out.append(_walk(p, f"{label}|{gender}", key, lambda s: s not in _GENDER, fixed=last))
+            out.append(_walk(p, kind, key, lambda s: s not in _GENDER, fixed=last))
     return "".join(out)
 
 
-def find_entities(text: str | None) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, gender) of a text's entities, by start, without overlaps; code points, end exclusive."""
+def find_entities(text: str | None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of a text's entities, by start, without overlaps; code points, end exclusive."""
     if not text:
         return []
-    found: list[tuple[str, int, int, str]] = []
+    found: list[tuple[str, int, int]] = []
     if "@" in text:
-        found += [("email", m.start(), m.end(), "") for m in _EMAIL.finditer(text)]
+        found += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
     if re.search(r"\d{2}", text):
-        found += [("iban", m.start(), m.end(), "") for m in _IBAN.finditer(text) if _iban_ok(m.group().replace(" ", ""))]
-        found += [("card", m.start(), m.end(), "") for m in _CARD.finditer(text) if luhn(re.sub(r"\D", "", m.group()))]
-        found += [("ssn", m.start(), m.end(), "") for m in _SSN.finditer(text)]
-        found += [("phone", m.start(), m.end(), "") for m in _PHONE.finditer(text)]
+        found += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if _iban_ok(m.group().replace(" ", ""))]
+        found += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if luhn(re.sub(r"\D", "", m.group()))]
+        found += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
+        found += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text)]
     if text.count(".") > 2 and re.search(r"\d\.\d", text):
-        found += [("ip", m.start(), m.end(), "") for m in _IP.finditer(text)]
-    for m in _NAME.finditer(text):
-        title = m.group(1)
-        first = re.split(r"[ -]", m.group(2))[0]
-        gender = "f" if re.fullmatch(_FEMALE, title) else "m" if re.fullmatch(_MALE, title) else _GENDER.get(first, "")
-        found.append(("name", m.start(2), m.end(2), gender))
+        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text)]
+    found += [("name", m.start(2), m.end(2)) for m in _NAME.finditer(text)]
     rank = ("email", "iban", "card", "ssn", "phone", "ip", "name")
-    kept: list[tuple[str, int, int, str]] = []
+    kept: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []
     for e in sorted(found, key=lambda e: (rank.index(e[0]), e[1])):
         if all(e[2] <= a or e[1] >= b for a, b in taken):
@@ -221,15 +252,10 @@ def replace_entities(text: str | None, key: bytes = KEY) -> tuple[str | None, li
     entities = find_entities(text)
     if not entities:
         return text, []
-    by_new: dict[tuple[str, str], str] = {}
     out, spans, at = [], [], 0
-    for kind, a, b, gender in entities:
+    for kind, a, b in entities:
         old = text[a:b]
-        core = canonical(kind, old)
-        for attempt in range(100):
-            new = surrogate(kind, old, gender, key, attempt)
-            if new != old and by_new.setdefault((kind, canonical(kind, new)), core) == core:
-                break
+        new = surrogate(kind, old, key)
         out += [text[at:a], new]
         spans.append((kind, a, b, old, new))
         at = b
@@ -243,10 +269,10 @@ def surrogates(docs: DataFrame, key: bytes = KEY, originals: bool = False) -> Da
     """One row per document: ``doc_id, text`` (with surrogates), ``n_entities`` and ``entities``.
 
     ``entities``: array of (kind, start_at, end_at, surrogate), positions in the original text. ``originals`` adds what
-    was replaced, for ``collisions``; leave it out of anything that is published.
+    was replaced and the surrogate, both in canonical form, for ``collisions``; leave it out of anything that is published.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = [*_SPAN, *([pa.field("original", pa.string())] if originals else [])]
+    fields = [*_SPAN, *([pa.field("original", pa.string()), pa.field("canonical", pa.string())] if originals else [])]
     span = pa.list_(pa.struct(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +284,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY, originals: bool = False) -> Da
                 n.append(len(found))
                 spans.append(
                     [
-                        {"kind": k, "start_at": a, "end_at": b, "surrogate": s} | ({"original": canonical(k, o)} if originals else {})
+                        {"kind": k, "start_at": a, "end_at": b, "surrogate": s} | ({"original": canonical(k, o), "canonical": canonical(k, s)} if originals else {})
                         for k, a, b, o, s in found
                     ]
                 )
@@ -267,7 +293,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY, originals: bool = False) -> Da
                 names=["doc_id", "text", "n_entities", "entities"],
             )
 
-    more = ",original:string" if originals else ""
+    more = ",original:string,canonical:string" if originals else ""
     return docs.select("doc_id", "text").mapInArrow(
         run,
         f"doc_id {kind}, text string, n_entities long, entities array<struct<kind:string,start_at:bigint,end_at:bigint,surrogate:string{more}>>",
@@ -277,6 +303,5 @@ def surrogates(docs: DataFrame, key: bytes = KEY, originals: bool = False) -> Da
 def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """Surrogates that stand for more than one entity of the corpus: ``kind, surrogate, entities``. Empty if all is well."""
     e = surrogates(docs, key, originals=True).select(F.explode("entities").alias("e")).select("e.*")
-    e = e.withColumn("surrogate", F.when(F.col("kind") == "phone", F.substring(F.regexp_replace("surrogate", r"\D", ""), -10, 10)).otherwise(F.regexp_replace(F.lower("surrogate"), "[ -]", "")))
-    e = e.select("kind", "surrogate", "original").distinct()
+    e = e.select("kind", F.col("canonical").alias("surrogate"), "original").distinct()
     return e.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")

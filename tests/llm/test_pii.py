@@ -65,3 +65,33 @@ def test_table(spark, make, odd):
     assert a == b != c
     assert op.collisions(docs).collect() == []
     assert op.surrogates(make([])).collect() == []
+
+
+def test_one_person_has_one_surrogate_whatever_the_title_and_document():
+    news = {op.replace_entities(f"{t} Weber came.")[0].split()[1] for t in ("Mr.", "Mrs.", "Dr.", "Prof.", "Herr")}
+    assert len(news) == 1 and news != {"Weber"}
+    full = op.replace_entities("Dr. Anna Weber met Mrs. Weber.")[1]
+    assert full[0][4].split()[1] == full[1][4]
+
+
+def test_people_of_different_documents_stay_apart(make):
+    upper, vowels = "BCDFGHJKLMNPQRSTVWXYZ", "aeiou"
+    names = [f"{c}{v}th" for c in upper for v in vowels] + sorted(op._GENDER)
+    texts = [f"{t} {n} came." for n in names for t in ("Mr.", "Mrs.", "Dr.")]
+    new = {n: {op.surrogate("name", n)} for n in names}
+    for t in texts:
+        (span,) = op.replace_entities(t)[1]
+        new[span[3]].add(span[4])
+    assert all(len(s) == 1 and n not in s for n, s in new.items())
+    assert len(set.union(*new.values())) == len(names)
+    assert op.collisions(make([(i, t, "s") for i, t in enumerate(texts)])).collect() == []
+
+
+def test_nothing_is_its_own_surrogate():
+    for n in (2, 3, 10, 33, 1000):
+        assert all(op.permuted(x, n, "t") != x for x in range(n))
+    for k, old in [("name", "Øße"), ("name", "Ъь"), ("email", "测试@example.com"), ("ip", "192.168.0.1"), ("ip", "127.0.0.1")]:
+        assert op.surrogate(k, old) != old
+    assert op.replace_entities("write to _@example.com")[0] == "write to _@example.com"
+    kept = {op.surrogate("ip", f"192.168.{i}.{j}") for i in range(20) for j in range(20)}
+    assert len(kept) == 400 and all(s.startswith("192.168.") for s in kept)
