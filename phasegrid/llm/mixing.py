@@ -1,20 +1,22 @@
 """Mixing sources to target weights.
 
 DataFrame functions only. Each source's documents are laid end to end and their tokens packed into blocks of
-``block`` tokens. Every source gets a number of block draws that meets its target; the draws are spread over the output
-shards, a slot of a source is sent through the source's pseudorandom permutation of its block indexes, and blocks are
-joined by (source, index).
+``block`` tokens. Every source gets a number of block draws that meets its target; how many of them each output shard
+holds is drawn, the slots so counted are sent through the source's pseudorandom permutation of its block indexes, and
+blocks are joined by (source, index).
 
 *Shard counts.* The counts of sources in a shard are a multinomial draw conditioned on the corpus totals being the
-quotas (a multivariate hypergeometric one): slots of all sources are placed by one pseudorandom permutation of all
-slots. An unconditioned draw would let a source's total stray from its target by the square root of its blocks.
+quotas (a multivariate hypergeometric one): draws of all sources are placed by one pseudorandom permutation of all
+places and counted by source and shard. An unconditioned draw would let a source's total stray from its target by the
+square root of its blocks. Everything that is taken comes from these counts: shards use up a source's slots in turn.
 
 *Permutations* are swap-or-not shuffles (Hoang, Morris, Rogaway 2012), which work on any domain size without cycle
 walking and are evaluated row by row; nothing is sorted or collected by source.
 
 *Scale.* One pass over the texts yields (id, source, words), which is cut to the checkpoint folder; all later rows are
 numbers. Packing sums within buckets of about 32,768 documents (a hot source spans many buckets) and then over buckets;
-the table of sources has one row each. Slots are generated from chunks of 65,536 that are first spread over tasks.
+the table of sources has one row each. Draws are placed in chunks of 65,536 that are first spread over tasks; slots are
+generated from the shard counts, at most 1,024 from a row.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; documents without words
 take nothing; an empty table gives an empty result; repeated rows are packed as documents of their own.
@@ -130,21 +132,41 @@ def quotas(goal: DataFrame, blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
-def slots(quota: DataFrame, shard: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
-    """Every slot of the mix: ``rank, pass, block_index, shard, position``; source counts of a shard are its counts here."""
+def shard_counts(quota: DataFrame, shard: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
+    """Draws of each source in each output shard: ``rank, blocks, shard, n``, with what comes before them.
+
+    ``first`` counts the source's draws in earlier shards, ``before`` the shard's draws of earlier sources and
+    ``in_shard`` all of the shard's: ``shard``, or what is left in the last one.
+    """
     chunks = quota.where("draws > 0").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk")
     )
     chunks = chunks.repartition(shuffle_partitions(quota.sparkSession), "rank", "chunk")
     last = F.least(F.col("draws"), (F.col("chunk") + 1) * CHUNK) - 1
     one = chunks.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("i"))
-    slot = permuted(F.col("first_slot") + F.col("i"), F.col("slots"), F.lit("slot"), rounds)
+    at = permuted(F.col("first_slot") + F.col("i"), F.col("slots"), F.lit("slot"), rounds)
+    counts = one.groupBy("rank", "blocks", F.floor(at / shard).alias("shard")).agg(F.count("*").alias("n"))
+    of_source = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    of_shard = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.select(
+        "*",
+        (F.sum("n").over(of_source) - F.col("n")).alias("first"),
+        (F.sum("n").over(of_shard) - F.col("n")).alias("before"),
+        F.sum("n").over(Window.partitionBy("shard")).alias("in_shard"),
+    )
+
+
+def slots(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The slots that the shard counts ask for: ``rank, pass, block_index, shard, position``."""
+    counts = counts.repartition(shuffle_partitions(counts.sparkSession), "rank", "shard")
+    one = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    one = one.withColumn("i", F.col("first") + F.col("j"))
     return one.select(
         "rank",
         F.floor(F.col("i") / F.col("blocks")).alias("pass"),
         permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.concat(F.lit("s"), F.col("rank")), rounds).alias("block_index"),
-        F.floor(slot / shard).alias("shard"),
-        F.pmod(slot, F.lit(shard)).alias("position"),
+        "shard",
+        permuted(F.col("before") + F.col("j"), F.col("in_shard"), F.concat(F.lit("p"), F.col("shard")), rounds).alias("position"),
     )
 
 
@@ -171,7 +193,7 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> tuple[DataF
     named = goal.withColumnRenamed("source", "g_source")
     place = place.join(named, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
     place = cut(place)
-    return place, pieces(place, block), slots(quotas(goal, place), shard)
+    return place, pieces(place, block), slots(cut(shard_counts(quotas(goal, place), shard)))
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
@@ -188,11 +210,26 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
     )
 
 
+def mixed_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The mix as output shards, a row for each block: ``shard, position, source, pass, block_index, pieces``.
+
+    ``pieces``: array of (doc_id, from_word, n_words), the parts of documents that the block holds, in order.
+    """
+    place, parts, drawn = plan(docs, block, shard)
+    kept = F.struct(F.struct("bucket", "rn").alias("start"), "doc_id", "from_word", "n_words")
+    whole_blocks = parts.groupBy("rank", "block_index").agg(F.sort_array(F.collect_list(kept)).alias("pieces"))
+    names = place.select(F.col("rank").alias("n_rank"), "source").distinct()
+    found = drawn.hint("merge").join(whole_blocks, ["rank", "block_index"]).join(names, F.col("rank") == F.col("n_rank"))
+    pieces_of = F.transform("pieces", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["from_word"].alias("from_word"), p["n_words"].alias("n_words")))
+    return found.select("shard", "position", "source", "pass", "block_index", pieces_of.alias("pieces"))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: each document's row once per pass in which any of its blocks is drawn.
 
     A pass that draws all of a document's blocks returns its text unchanged; otherwise the words of the drawn blocks,
-    in order, joined by single spaces. Documents that no slot draws are left out. Columns are those of ``docs``;
+    in order, joined by single spaces. What is drawn follows the shard counts, but a document stays together: laid out by
+    shard, its blocks would fall apart (``mixed_blocks``). Documents that no slot draws are left out. Columns are those of ``docs``;
     ``n_chars``, if there, is that of the new text. Needs a unique ``doc_id``.
     """
     place, parts, drawn = plan(docs)

@@ -95,3 +95,47 @@ def test_documents_hold_the_words_taken(make):
         assert r.n_chars == len(r.text) and set(w) <= set(words[r.doc_id])
         got[r.doc_id] += len(w)
     assert {k: v for k, v in taken.items() if v} == dict(got)
+
+
+def sources(n=240):
+    return [(i, " ".join(f"d{i}w{j}" for j in range((i * 53) % 700)), "aab"[i % 3] if i % 11 else None) for i in range(n)]
+
+
+def test_shard_counts_are_a_draw_that_meets_the_quotas(spark):
+    quota = spark.createDataFrame([(1, 40, 100, 0, 400), (2, 300, 290, 100, 400), (3, 5, 10, 390, 400)], "rank long, blocks long, draws long, first_slot long, slots long")
+    rows = op.shard_counts(quota, shard=64).collect()
+    per_source, per_shard = Counter(), Counter()
+    for r in sorted(rows, key=lambda r: (r.shard, r["rank"])):
+        assert (r["first"], r.before) == (per_source[r["rank"]], per_shard[r.shard])
+        per_source[r["rank"]] += r.n
+        per_shard[r.shard] += r.n
+    assert per_source == {1: 100, 2: 290, 3: 10} and per_shard == {**dict.fromkeys(range(6), 64), 6: 16}
+    assert all(r.in_shard == per_shard[r.shard] for r in rows)
+    first = [r.n for r in rows if r["rank"] == 1 and r.shard < 6]
+    assert len(set(first)) > 1 and all(abs(n - 16) < 6 * (64 * 0.25 * 0.75 * 336 / 399) ** 0.5 for n in first)
+
+
+def test_output_shards_hold_the_blocks_that_are_taken(make):
+    docs = make(sources())
+    blocks = op.mixed_blocks(docs, shard=64).collect()
+    places = Counter((r.shard, r.position) for r in blocks)
+    in_shard = Counter(r.shard for r in blocks)
+    assert max(places.values()) == 1 and set(in_shard) == set(range(len(in_shard)))
+    assert sorted(places) == [(s, p) for s in sorted(in_shard) for p in range(in_shard[s])]
+    assert all(in_shard[s] == 64 for s in range(len(in_shard) - 1)) and len({r.source for r in blocks if r.shard == 0}) == 3
+    assert all(sum(p.n_words for p in r.pieces) <= op.BLOCK for r in blocks)
+    taken = Counter()
+    for r in blocks:
+        for p in r.pieces:
+            taken[p.doc_id] += p.n_words
+    assert {r.doc_id: r.taken for r in op.mixed_sizes(docs).collect() if r.taken} == dict(taken)
+
+
+def test_taken_words_follow_the_shard_counts(make, monkeypatch):
+    docs = make(sources())
+    whole, counts = {r.doc_id: r.taken for r in op.mixed_sizes(docs).collect()}, op.shard_counts
+    monkeypatch.setattr(op, "shard_counts", lambda quota, shard: counts(quota, 64).where("shard > 0"))
+    less = {r.doc_id: r.taken for r in op.mixed_sizes(docs).collect()}
+    assert all(less[i] <= n for i, n in whole.items())
+    lost = sum(whole.values()) - sum(less.values())
+    assert 0 < lost <= 64 * op.BLOCK
