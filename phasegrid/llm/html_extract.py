@@ -11,7 +11,7 @@ weights (one row a feature) are broadcast; pages are decoded where they are read
 
 Defined cases: a null or empty html has the empty text; so has a page without content blocks; markup that ends in the
 middle of a tag loses that tag; elements left open end with the page; comments, scripts, styles and other raw text are
-no blocks; null ids and repeated rows are rows like any other; an empty table gives an empty result.
+no blocks, but of raw text only a script, style or text area left open takes the rest of the page; null ids and repeated rows are rows like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +28,24 @@ from pyspark.sql import DataFrame
 TRAIN_PAGES = 400
 SEED = 11
 _RAW = "script|style|noscript|template|textarea|iframe|svg|head|select"
+_ATTRIBUTES = r"(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*+>|[^>]*>"
+_SKIPPED = r"<!--.*?(?:-->|\Z)|<({})(?![\w:-])[^>]*>.*?(?:</\1\s*>|\Z)"
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?![\w:-])({_ATTRIBUTES})|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
     re.S | re.I,
 )
+_PAIRS = {
+    name: re.compile(_SKIPPED.format("script|style|textarea") + rf"|<(/?){name}(?![\w:-])({_ATTRIBUTES})", re.S | re.I)
+    for name in ("noscript", "template", "iframe", "svg", "select")
+}
+_TO_END = {name: re.compile(rf".*?(?:</{name}\s*>|\Z)", re.S | re.I) for name in ("script", "style", "textarea")}
+#: What a head may hold, one thing at a time.
+_IN_HEAD = re.compile(
+    r"\s+|" + _SKIPPED.format("script|style") + r"|<[!?][^>]*>|<title(?![\w:-])[^>]*>(?:(?:(?!</?(?:title|head|body|svg)(?![\w:-])).)*+</title\s*>|[^<]*)"
+    r"|</?(?:meta|link|base|basefont|bgsound|title|head|html|noscript|template)(?![\w:-])[^>]*>",
+    re.S | re.I,
+)
+_OPTIONS = re.compile(r"(?:\s*<(?:option|optgroup)(?![\w:-])[^>]*>[^<]*|\s*</(?:option|optgroup)\s*>)*+", re.I)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -84,6 +98,45 @@ def _marks(name: str, attributes: str) -> frozenset:
     return frozenset(out)
 
 
+def _tags(html: str) -> Iterator[tuple[re.Match, int]]:
+    """Every tag, comment or raw element of a page, and where it ends.
+
+    Scripts, styles and text areas run to their closing tag or the end of the page. Others that are no blocks end at
+    theirs, if they have one; if not, or closed by themselves, they are their opening tag alone (a select with its
+    options). A head ends at the first thing that no head holds: its closing tag may be left out.
+    """
+    closed: dict[str, dict[int, int]] = {}
+
+    def end_of(name: str, start: int) -> int | None:
+        """End of the element that opens there; a closing tag belongs to the last one open."""
+        if name not in closed:
+            closed[name], opened = {}, []
+            for m in _PAIRS[name].finditer(html):
+                if m.group(3) is None or m.group(1):
+                    continue
+                if m.group(2):
+                    if opened:
+                        closed[name][opened.pop()] = m.end()
+                elif not m.group(3).endswith("/>"):
+                    opened.append(m.start())
+        return closed[name].get(start)
+
+    at = 0
+    while m := _TAG.search(html, at):
+        at = m.end()
+        name = (m.group(1) or "").lower()
+        if name in _TO_END:
+            at = _TO_END[name].match(html, at).end()
+        elif name == "head":
+            while inside := _IN_HEAD.match(html, at):
+                outer = re.match(r"<(noscript|template)\b", inside.group(), re.I)
+                at = outer and end_of(outer.group(1).lower(), inside.start()) or inside.end()
+        elif name:
+            end = end_of(name, m.start())
+            at = end or (_OPTIONS.match(html, at).end() if name == "select" else at)
+        yield m, at
+
+
 def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page with text, in page order."""
     html = html or ""
@@ -112,10 +165,10 @@ def blocks(html: str | None) -> list[Block]:
                 linked += len(text)
 
     at = 0
-    for m in _TAG.finditer(html):
+    for m, end in _tags(html):
         add(html[at : m.start()])
-        at = m.end()
-        name = m.group(3)
+        at = end
+        name = m.group(4)
         if name is None:
             if m.group(1) and m.group(1).lower() != "select":
                 continue
@@ -123,7 +176,7 @@ def blocks(html: str | None) -> list[Block]:
                 flush()
             continue
         name = name.lower()
-        if m.group(2):
+        if m.group(3):
             if name not in _INLINE:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
@@ -146,9 +199,9 @@ def blocks(html: str | None) -> list[Block]:
                     break
                 if stack[i][0] in _SCOPES:
                     break
-        if name in _VOID or m.group(4).rstrip().endswith("/") and name not in _SCOPES:
+        if name in _VOID or m.group(5).rstrip().endswith("/") and name not in _SCOPES:
             continue
-        stack.append((name, (stack[-1][1] if stack else none) | _marks(name, m.group(4))))
+        stack.append((name, (stack[-1][1] if stack else none) | _marks(name, m.group(5))))
         links += name == "a"
     tail = html[at:]
     add(tail)

@@ -67,3 +67,21 @@ def test_table(spark):
     assert by[1].n_chars == len(by[1].text) > 0
     assert by[4].text in ("", ("word " * 50_000).strip())
     assert op.extracted(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_open_and_self_closed_elements_lose_no_text():
+    texts = lambda h: [b.text for b in op.blocks(h)]
+    assert texts("<head><title>t</title><body><article><p>Main text.") == ["Main text."]
+    assert texts("<html><head><meta charset=x><title>a < b</title><style>p{}</style><!-- <p> --><script>'<p>'</script><p>Main") == ["Main"]
+    assert texts("<head><noscript><img src=x></noscript><link href=y></head><p>Main") == ["Main"]
+    assert texts('<p>a<svg aria-label="x>y"/><p>b<svg><title>no</title></svg><p>c') == ["a", "b", "c"]
+    assert texts("<p>a<svg><g><svg>no</svg>no</g></svg><p>b") == ["a", "b"]
+    for name in ("iframe", "svg", "noscript", "template"):
+        assert texts(f"<p>a</p><{name} id=x><p>b</p><{name}>no</{name}><p>c") == ["a", "b", "c"]
+    assert texts("<p>a<iframe src=x /><p>b") == ["a", "b"]
+    assert texts("<p>a<select><option>no<option>no<p>b") == ["a", "b"]
+    assert texts("<p>a<svg-icon>b</svg-icon>") == ["a", "b"]
+    for name in ("script", "style", "textarea"):
+        assert texts(f"<p>a<{name}>no<p>no") == ["a"]
+    page = PAGE.replace("</head>", "").replace("<nav>", "<svg/><iframe src=x><nav>")
+    assert op.main_text(page, op.model()) == op.main_text(PAGE, op.model()) != ""
