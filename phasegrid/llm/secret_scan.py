@@ -4,7 +4,9 @@ Candidates are maximal runs of ``[A-Za-z0-9+/_-]`` of ``RUN`` characters or more
 characters slides over the runs of one character class (hexadecimal, base-64); counts of characters are updated by one
 character out and one in, and with them the sum of c*log2(c), so a step costs the same whatever the window. A run whose
 highest window entropy reaches its class's threshold is a secret of kind ``entropy`` unless an allow-list pattern
-explains it or a base span overlaps it. Map-only, one document at a time.
+explains it or a base span overlaps it. Placeholder words (``your``, ``test``) count as whole segments between
+``+ / _ -`` only, and explain a run only if the patterns explain its other segments; segments made of alphabets and rows
+of the keyboard add no entropy. Map-only, one document at a time.
 
 Defined cases: a null text counts as empty and has no spans; the digest of no spans is that of the empty string; null ids
 and repeated rows are rows like any other; an empty table gives an empty result; further columns are ignored.
@@ -39,12 +41,14 @@ _ALLOWED = [
         r"[0-9_+/-]+",  # digits: numbers, dates, telephone numbers
         r"(?:[A-Za-z]{1,24}[/_-]+)*[A-Za-z]{1,24}[0-9]{0,4}",  # paths, identifiers and hyphenated words
         r"(.{1,8}?)\1{2,}.{0,8}",  # repetitions
-        r"(?i).*(?:example|placeholder|your|sample|dummy|changeme|xxxxx|test).*",
-        r"(?i).*(?:abcdefgh|12345678|qwerty).*",  # alphabets and keyboards
         r"da39a3ee5e6b4b0d3255bfef95601890afd80709|d41d8cd98f00b204e9800998ecf8427e|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855",
         r"(?i)sha(?:1|256|384|512)-.*",  # integrity attributes
     )
 ]
+_PLAIN = _ALLOWED[:4]
+_SEGMENT = re.compile(r"[^+/_-]+")
+_PLACEHOLDER = re.compile(r"(?i)(?:examples?|placeholder|your|samples?|dummy|changeme|xxxxx+|tests?)[0-9]{0,4}")
+_ROWS = ("0123456789abcdefghijklmnopqrstuvwxyz0123456789", "1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _XLOGX = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 _CLASS_RUNS = {name: (re.compile("[%s]{%d,}" % (re.escape(chars), WINDOW)), least) for name, (chars, least) in CLASSES.items()}
 
@@ -75,8 +79,32 @@ def highest_entropy(run: str, window: int = WINDOW) -> float:
     return math.log2(w) - least / w
 
 
+def in_rows(segment: str) -> bool:
+    """Whether a segment is made of stretches, four characters or more, of alphabets and rows of the keyboard."""
+    s, at = segment.lower(), 0
+    if len(s) < 6:
+        return False
+    while at < len(s):
+        n = 3
+        while at + n < len(s) and any(s[at : at + n + 1] in row for row in _ROWS):
+            n += 1
+        if n < 4:
+            return False
+        at += n
+    return True
+
+
+def without_rows(run: str) -> str:
+    """The run with segments that ``in_rows`` holds for filled with underscores."""
+    return _SEGMENT.sub(lambda m: "_" * len(m.group()) if in_rows(m.group()) else m.group(), run)
+
+
 def allowed(run: str) -> bool:
-    return any(p.fullmatch(run) for p in _ALLOWED)
+    if any(p.fullmatch(run) for p in _ALLOWED):
+        return True
+    segments = _SEGMENT.findall(run)
+    rest = [x for x in segments if not _PLACEHOLDER.fullmatch(x) and not in_rows(x)]
+    return len(rest) < len(segments) and (not rest or any(p.fullmatch("_".join(rest)) for p in _PLAIN))
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -96,7 +124,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
             continue
         for part, least in _CLASS_RUNS.values():
             for m in part.finditer(s):
-                if not allowed(m.group()) and highest_entropy(m.group()) >= least:
+                if not allowed(m.group()) and highest_entropy(without_rows(m.group())) >= least:
                     more.append(("entropy", at + m.start(), at + m.end()))
     kept: list[tuple[str, int, int]] = []
     for k, a, b in sorted(more, key=lambda x: (x[1], -x[2])):

@@ -71,3 +71,27 @@ def test_entropy_finds_random_keys_and_allows_others():
     assert sum(any(s[0] == "entropy" for s in op.find_secrets(f"see {k} here")) for k in keys) >= 49
     for t in ("123e4567-e89b-12d3-a456-426614174000", "internationalisation/of/everything", "xyxyxyxyxyxyxyxyxyxyxyxyxyxyxy", "2024-01-02-03-04-05-06-07-08", "some_long_function_name_here"):
         assert not op.find_secrets(t), t
+
+
+def test_placeholder_words_explain_no_secret_beside_them():
+    found = lambda t: [t[a:b] for k, a, b in op.find_secrets(t) if k == "entropy"]
+    keys = [
+        "releases/latest/download/ghp_9aK2xQ7LmZ4tR8vN3bW6",
+        "sk_test_51Hq8ZzKx92LmPqRtY7",
+        "Your9aK2xQ7LmZ4tR8vN3bW6",
+        "9aK2xQ7LmZ4tR12345678vN3bW6",
+        "qwerty_9aK2xQ7LmZ4tR8vN3bW6",
+        "abcdefghijklmnopqrstuvwxyz/9aK2xQ7LmZ4tR8vN3bW6",
+        "test-ab12-cd34-ef56-gh78-ij90",
+    ]
+    for k in keys:
+        assert found(f"see {k} here") == [k], k
+    for t in (
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+        "your_example_key_placeholder_0123456789",
+        "qwertyuiop1234567890asdfghjkl",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZ-a1b",
+        "0123456789abcdef0123456789ABCDEF",
+        "test/2024-01-02/sample/12345678",
+    ):
+        assert not found(t), t
