@@ -60,7 +60,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     All columns stay. Where ids repeat, rows are told apart by their text too, and one of equal rows is left.
     """
     kept = cut(exact_groups(docs).where("kept").select(F.col("doc_id").alias("__pg_id"), F.col("text_sha256").alias("__pg_sha")))
-    rows, ids = kept.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("__pg_id").cast("string"), F.lit("null")))).first()
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).first()
     same_id = F.col("doc_id").eqNullSafe(F.col("__pg_id"))
     if rows == ids:
         return docs.join(kept.select("__pg_id"), same_id, "left_semi")

@@ -51,3 +51,8 @@ def test_one_row_of_each_group_stays(make, odd):
 def test_hot_group(make):
     rows = [(i, "hot" if i % 3 == 0 else f"t{i}", "s") for i in range(300)]
     assert got(op.exact_groups(make(rows))) == expected(rows)
+
+
+def test_no_copy_survives_under_an_id_that_stays(make):
+    left = op.drop_copies(make([(5, "a", "s"), (5, "b", "s"), (7, "b", "s")])).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(5, "a"), (7, "b")]
