@@ -1,17 +1,22 @@
 """Main-text extraction: a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks (runs of text between block-level tags), each with features of its ancestors (tags, hints
-in class, id and role), of its own tag and of its text (length, link share, marks). The chain has two labels, content
-and other; it is trained by gradient ascent on the penalised log-likelihood over labelled pages and decoded by Viterbi.
+in class, id and role), of its own tag and of its text (length, link share, marks). A hint on an element that holds half
+of the page's text or more is a feature of its own, since wrappers are often named for what they hold beside the article
+(``has-sidebar``); so are headers and footers inside an article. Names of ``html`` and ``body`` say nothing. The chain has
+two labels, content and other; it is trained by gradient ascent on the penalised log-likelihood over labelled pages and
+decoded by Viterbi.
 
 *Training pages* are made here, by ``labelled_page``: templates of news pages, blogs and forums with menus, headers,
 footers, sidebars, notices, adverts, forms, comments and articles of random words, with and without telling class names,
-some of them cut off. Their number is ``TRAIN_PAGES``; training is seeded and takes about two seconds on the driver. The
+under plain and theme-like wrappers, with and without article headers, some of them cut off. Their number is ``TRAIN_PAGES``; training is seeded and takes a few seconds on the driver. The
 weights (one row a feature) are broadcast; pages are decoded where they are read.
 
 Defined cases: a null or empty html has the empty text; so has a page without content blocks; markup that ends in the
 middle of a tag loses that tag; elements left open end with the page; comments, scripts, styles and other raw text are
-no blocks, but of raw text only a script, style or text area left open takes the rest of the page; null ids and repeated rows are rows like any other; an empty table gives an empty result.
+no blocks, but of raw text only a script, style or text area left open takes the rest of the page; a page of any length is
+read whole, in time that grows with its length; ties in decoding go to content; null ids and repeated rows are rows like
+any other; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,22 +25,24 @@ import html as html_lib
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 700
 SEED = 11
 _RAW = "script|style|noscript|template|textarea|iframe|svg|head|select"
-_ATTRIBUTES = r"(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*+>|[^>]*>"
+#: Up to the end of a tag; quotes quote only after an equals sign.
+_ATTRIBUTES = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
 _SKIPPED = r"<!--.*?(?:-->|\Z)|<({})(?![\w:-])[^>]*>.*?(?:</\1\s*>|\Z)"
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?![\w:-])({_ATTRIBUTES})|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?![\w:-])({_ATTRIBUTES}>)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
 _PAIRS = {
-    name: re.compile(_SKIPPED.format("script|style|textarea") + rf"|<(/?){name}(?![\w:-])({_ATTRIBUTES})", re.S | re.I)
+    name: re.compile(_SKIPPED.format("script|style|textarea") + rf"|<(/?){name}(?![\w:-])({_ATTRIBUTES}>)", re.S | re.I)
     for name in ("noscript", "template", "iframe", "svg", "select")
 }
 _TO_END = {name: re.compile(rf".*?(?:</{name}\s*>|\Z)", re.S | re.I) for name in ("script", "style", "textarea")}
@@ -64,10 +71,10 @@ _HINTS = {
     for group, words in {
         "ad": "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored dfp outbrain taboola",
         "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip",
-        "talk": "comment comments commentlist reply replies respond disqus discussion thread reader readers",
+        "talk": "comment comments commentlist reply replies respond response responses disqus discussion thread reader readers",
         "side": "sidebar side widget widgets related complementary aside recommended recommendations popular trending more rail",
         "foot": "footer foot copyright legal contentinfo colophon imprint bottom",
-        "head": "header masthead topbar branding logo site hero tagline",
+        "head": "header masthead topbar branding logo tagline",
         "note": "cookie cookies consent notice notices alert warning gdpr popup modal overlay newsletter subscribe paywall login signup message",
         "share": "share sharing social follow tags byline meta author",
         "body": "article articlebody post entry content main story text body prose",
@@ -76,26 +83,69 @@ _HINTS = {
 }
 
 
+#: Words by which a name tells of its element's neighbours, not of its content.
+_ABOUT = frozenset("has with without no layout".split())
+
+
+class Element:
+    """An element that says something of the blocks inside it: its marks, the next such one around it, its text."""
+
+    __slots__ = ("marks", "around", "start", "chars", "path")
+
+    def __init__(self, marks: tuple[str, ...], around: Element | None, start: int):
+        self.marks, self.around, self.start, self.chars, self.path = marks, around, start, 0, frozenset()
+
+    def place(self, total: int) -> None:
+        """Set the features of the blocks inside; those around must be placed."""
+        before = self.around.path if self.around else frozenset()
+        inner = not before.isdisjoint(("in:article", "in:main", "hint:body"))
+        out = set(before)
+        for kind, name in (m.split(":") for m in self.marks):
+            if kind == "hint" and name != "body" and 2 * self.chars >= total:
+                out.add(f"wide:{name}")
+            elif inner and name in _INNER:
+                out.add(f"inner:{name}")
+            else:
+                out.add(f"{kind}:{name}")
+        self.path = frozenset(out)
+
+
 class Block:
     """A leaf block: its text and what is known of it."""
 
-    __slots__ = ("text", "tag", "path", "linked")
+    __slots__ = ("text", "tag", "around", "linked")
 
-    def __init__(self, text: str, tag: str, path: frozenset, linked: float):
-        self.text, self.tag, self.path, self.linked = text, tag, path, linked
+    def __init__(self, text: str, tag: str, around: Element | None, linked: float):
+        self.text, self.tag, self.around, self.linked = text, tag, around, linked
 
+    @property
+    def path(self) -> frozenset:
+        return self.around.path if self.around else frozenset()
 
-def _marks(name: str, attributes: str) -> frozenset:
-    """Features that an element gives to the blocks inside it."""
-    out = set()
-    if name in _ANCESTORS:
-        out.add(f"in:{name}")
-    if "=" in attributes:
+
+#: Endings of words written together (``leftmenu``).
+_ENDINGS = ("menu", "nav", "navbar", "header", "footer", "sidebar", "comments", "content", "banner", "article")
+
+
+@lru_cache(maxsize=10_000)
+def _hints(token: str) -> frozenset:
+    """The hints of one name. Of its words those that name other parts go before the article's."""
+    words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+    if not _ABOUT.isdisjoint(words):
+        return frozenset()
+    known = (w if w in _HINTS else next((e for e in _ENDINGS if w.endswith(e)), "") for w in words)
+    groups = {_HINTS[w] for w in known if w}
+    return frozenset(f"hint:{g}" for g in (groups - {"body"} or groups))
+
+
+def _marks(name: str, attributes: str) -> tuple[str, ...]:
+    """What an element says of the blocks inside it."""
+    out = {f"in:{name}"} if name in _ANCESTORS else set()
+    if "=" in attributes and name not in ("html", "body"):
         for m in _ATTR.finditer(attributes):
-            for word in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m.group(1) or m.group(2) or m.group(3) or "").lower()):
-                if word in _HINTS:
-                    out.add(f"hint:{_HINTS[word]}")
-    return frozenset(out)
+            for token in (m.group(1) or m.group(2) or m.group(3) or "").split():
+                out |= _hints(token)
+    return tuple(sorted(out))
 
 
 def _tags(html: str) -> Iterator[tuple[re.Match, int]]:
@@ -138,85 +188,104 @@ def _tags(html: str) -> Iterator[tuple[re.Match, int]]:
 
 
 def blocks(html: str | None) -> list[Block]:
-    """The leaf blocks of a page with text, in page order."""
+    """The leaf blocks of a page with text, in page order. Time grows with the page's length, not with its nesting."""
     html = html or ""
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[tuple[str, Element | None, bool]] = []  # name, the nearest element with marks, whether that is this one
+    at_name: dict[str, list[int]] = {}  # places in the stack
+    at_block: list[int] = []
+    at_scope: list[int] = []
+    elements: list[Element] = []
     out: list[Block] = []
     parts: list[str] = []
-    linked = total = 0
-    links = 0
-    none: frozenset = frozenset()
+    linked = total = whole = 0
 
     def flush() -> None:
         nonlocal parts, linked, total
         if parts:
-            text = " ".join(html_lib.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                tag = next((t for t, _ in reversed(stack) if t not in _INLINE), "")
-                out.append(Block(text, tag, stack[-1][1] if stack else none, linked / max(total, 1)))
+                tag = stack[at_block[-1]][0] if at_block else ""
+                out.append(Block(text, tag, stack[-1][1] if stack else None, linked / max(total, 1)))
             parts, linked, total = [], 0, 0
 
     def add(text: str) -> None:
-        nonlocal linked, total
+        nonlocal linked, total, whole
         if text:
+            if "&" in text:
+                text = html_lib.unescape(text)
             parts.append(text)
             total += len(text)
-            if links:
+            whole += len(text.strip())
+            if at_name.get("a"):
                 linked += len(text)
 
+    def close(to: int) -> None:
+        while len(stack) > to:
+            name, element, own = stack.pop()
+            at_name[name].pop()
+            for places in (at_block, at_scope):
+                if places and places[-1] == len(stack):
+                    places.pop()
+            if own:
+                element.chars = whole - element.start
+
     at = 0
     for m, end in _tags(html):
         add(html[at : m.start()])
         at = end
         name = m.group(4)
         if name is None:
-            if m.group(1) and m.group(1).lower() != "select":
-                continue
-            if m.group(1):
+            if m.group(1) and m.group(1).lower() == "select":
                 flush()
             continue
         name = name.lower()
         if m.group(3):
             if name not in _INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in _INLINE and name in _INLINE:
-                    break
-            links = sum(t == "a" for t, _ in stack)
+            if at_name.get(name) and (name not in _INLINE or not at_block or at_name[name][-1] > at_block[-1]):
+                close(at_name[name][-1])
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name not in _INLINE:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _CLOSES.get(name, ()):
-                    del stack[i:]
-                    links = sum(t == "a" for t, _ in stack)
-                    break
-                if stack[i][0] in _SCOPES:
-                    break
+            inside = at_scope[-1] if at_scope else -1
+            ended = max((at_name[t][-1] for t in _CLOSES.get(name, ()) if at_name.get(t)), default=-1)
+            if ended >= 0 and ended >= inside:
+                close(ended)
         if name in _VOID or m.group(5).rstrip().endswith("/") and name not in _SCOPES:
             continue
-        stack.append((name, (stack[-1][1] if stack else none) | _marks(name, m.group(5))))
-        links += name == "a"
-    tail = html[at:]
-    add(tail)
+        around = stack[-1][1] if stack else None
+        marks = _marks(name, m.group(5))
+        if marks:
+            elements.append(Element(marks, around, whole))
+        at_name.setdefault(name, []).append(len(stack))
+        if name not in _INLINE:
+            at_block.append(len(stack))
+        if name in _SCOPES:
+            at_scope.append(len(stack))
+        stack.append((name, elements[-1] if marks else around, bool(marks)))
+    add(html[at:])
     flush()
+    close(0)
+    for element in elements:
+        element.place(whole)
     return out
 
 
+_GROUPS = sorted(set(_HINTS.values()))
+_INNER = ("header", "footer", "head", "foot", "share")
 _FEATURES: list[str] = (
     ["bias"]
     + [f"in:{t}" for t in sorted(_ANCESTORS)]
-    + [f"hint:{g}" for g in sorted(set(_HINTS.values()))]
+    + [f"hint:{g}" for g in _GROUPS]
+    + [f"wide:{g}" for g in _GROUPS if g != "body"]
+    + [f"inner:{g}" for g in _INNER]
     + [f"tag:{t}" for t in "p h1 h2 h3 h4 h5 h6 li div td th dt dd blockquote pre figcaption section article body button other".split()]
     + [f"words:{i}" for i in range(7)]
     + [f"linked:{i}" for i in range(4)]
-    + ["stop", "sign", "bar", "digits", "plain", "plain+body", "article-clean", "main-clean", "first", "last"]
+    + ["stop", "sign", "bar", "digits", "marked", "plain", "plain+body", "article-clean", "main-clean", "first", "last"]
 )
 _AT = {f: i for i, f in enumerate(_FEATURES)}
 _BAD = ("hint:ad", "hint:menu", "hint:talk", "hint:side", "hint:foot", "hint:head", "hint:note", "hint:share", "in:nav", "in:aside", "in:footer", "in:form", "in:header", "in:dialog", "in:button")
@@ -234,9 +303,11 @@ def _features(b: Block, first: bool, last: bool) -> list[int]:
         names.append("sign")
     if "|" in b.text or "·" in b.text or "»" in b.text:
         names.append("bar")
-    if sum(c.isdigit() for c in b.text[:80]) > 8:
+    if sum(map(b.text.count, "0123456789")) * 10 > len(b.text):
         names.append("digits")
-    if not bad:
+    if bad:
+        names.append("marked")
+    else:
         names.append("plain")
         if "hint:body" in b.path:
             names.append("plain+body")
@@ -303,9 +374,10 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
         elif kind == "side":
             tag, attributes = r.choice([("aside", ""), ("div", ' class="sidebar"'), ("div", ' class="related"'), ("section", ' class="widget"')])
             out.append(f"<{tag}{attributes}>")
-            put(r.choice(["h2", "h3", "h4"]), some(1, 4), 0)
+            if r.random() < 0.7:
+                put(r.choice(["h2", "h3", "h4"]), some(1, 4), 0)
             for _ in range(r.randint(1, 5)):
-                put(r.choice(["p", "li", "div"]), sentence(3, 30), 0, r.choice(["{}", '<a href="#">{}</a>']))
+                put(r.choice(["p", "p", "li", "div"]), sentence(3, 30), 0, r.choice(["{}", '<a href="#">{}</a>']))
             out.append(f"</{tag}>")
         elif kind == "form":
             out.append(f"<form{mark('search login subscribe x')}>")
@@ -326,8 +398,20 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
         )
         outer = r.random() < 0.2
         out.append("<main>" * outer + f"<{tag}{attributes}>")
-        if r.random() < 0.85:
+        head = r.random()
+        if head < 0.25 and (tag in ("article", "main") or attributes):
+            own, name = r.choice([("header", ""), ("header", ' class="entry-header"'), ("div", ' class="post-header"'), ("div", ' class="article-head header"')])
+            out.append(f"<{own}{name}>")
+            put("h1", some(1, 12), 1)
+            if r.random() < 0.5:
+                put("p", sentence(8, 25), 1)
+            if r.random() < 0.6:
+                put(r.choice(['div class="byline"', 'p class="meta"', 'div class="entry-meta"']), "By " + some(1, 3) + r.choice(["", ", 3 May 2021", " · 12:30"]), 0)
+            out.append(f"</{own}>")
+        elif head < 0.9:
             put(r.choice(["h1", "h1", "h2"]), some(1, 12), 1)
+        wrapped = r.random() < 0.2 and bool(attributes)
+        out.append('<div class="entry-content">' * wrapped)
         for _ in range(r.choice([1, 2, 3, 5, 8, 12, 20])):
             x = r.random()
             if x < 0.68:
@@ -355,22 +439,42 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
                     put("td", some(1, 4), 1)
                 out.append("</tr></table>")
             elif x < 0.97:
-                boilerplate(r.choice(["ad", "side", "form", "notice", "ad"]))
+                boilerplate(r.choice(["ad", "side", "side", "form", "notice", "ad"]))
             else:
                 put("div", sentence(5, 40), 1)
+        out.append("</div>" * wrapped)
+        if r.random() < 0.2 and (tag in ("article", "main") or attributes):
+            own, name = r.choice([("footer", ""), ("footer", ' class="entry-footer"'), ("div", ' class="post-footer"'), ("div", ' class="tags"'), ("div", ' class="share"')])
+            out.append(f"<{own}{name}>")
+            for _ in range(r.randint(1, 3)):
+                put(r.choice(["p", "div", "span"]) if own != "div" or r.random() < 0.5 else "p", some(1, 4), 0, r.choice(["{}", '<a href="#">{}</a>', 'Posted in <a href="#">{}</a>']))
+            out.append(f"</{own}>")
         if r.random() < 0.15:
             boilerplate("talk")
         out.append(f"</{tag}>" + "</main>" * outer)
 
     out.append(f"<!DOCTYPE html><html><head><title>{some(1, 6)}</title><script>var t='</p>';</script></head><body>")
+    if r.random() < 0.06:  # an article and nothing else
+        for _ in range(r.choice([1, 1, 2, 4])):
+            put("p", sentence(*r.choice([(8, 30), (20, 90), (80, 200)])), 1)
+        return "".join(out), labels
+    wrappers = []
+    if r.random() < 0.4:
+        for _ in range(r.randint(1, 3)):
+            wrappers.append(r.choice("site page wrapper container hfeed layout-with-sidebar has-sidebar content-sidebar-wrap sidebar-right right-sidebar header-fixed nav-open menu-closed ads-enabled cookie-banner-shown widget-layout post-and-sidebar with-related footer-bottom site-content content-area main-wrap content".split()))
+        out.append("".join(f'<div class="{w}">' for w in wrappers[:-1]))
     for kind in r.sample(["header", "nav", "notice", "ad"], r.randint(1, 4)):
         boilerplate(kind)
+    if wrappers:
+        out.append(f'<div class="{wrappers[-1]}">')
     if r.random() < 0.25:
         boilerplate("side")
     article()
     if r.random() < 0.12:
         return "".join(out).removesuffix("</main>").rpartition("</")[0], labels
-    for kind in r.sample(["talk", "side", "form", "ad", "nav"], r.randint(0, 3)):
+    for k, kind in enumerate(r.sample(["talk", "side", "form", "ad", "nav"], r.randint(0, 3))):
+        if wrappers and not k and r.random() < 0.5:
+            out.append("</div>")
         boilerplate(kind)
     boilerplate("footer")
     out.append("</body></html>")
@@ -425,7 +529,7 @@ class Crf:
         return self._w
 
 
-def train(pages: list[tuple[list[Block], list[int]]], steps: int = 150, rate: float = 0.15, penalty: float = 0.02) -> Crf:
+def train(pages: list[tuple[list[Block], list[int]]], steps: int = 150, rate: float = 0.15, penalty: float = 0.004) -> Crf:
     """Fit the chain by Adam on the penalised log-likelihood; pages are padded to one length and run together."""
     longest, n, f = max(len(p) for p, _ in pages), len(pages), len(_FEATURES)
     x = np.zeros((n, longest, f))
