@@ -13,15 +13,20 @@ endings, which carry gender in many languages, and never become one of those giv
 as a cycle leaves nothing in place, so nothing is ever drawn again. ``collisions`` verifies that over a corpus.
 
 Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment cards (Luhn), US social security numbers, IBANs,
-and personal names after a form of address. Map-only, one document at a time.
+and personal names after a form of address, with every other mention in the same text of a word of such a name ("Mr. John
+Smith came. Smith left."), so a word that is also an ordinary one is replaced throughout that text. Map-only, one document
+at a time.
 
 Defined cases: an entity with nothing to exchange (``_@example.com``) has no other form and is listed as its own
 surrogate; a null text stays null with no entities; text without entities is returned unchanged; null ids and
-repeated rows are rows like any other; an empty table gives an empty result; further columns are kept by ``replaced``.
+repeated rows are rows like any other; of overlapping detections the more specific kind stays, then the first; a text of
+any length is read whole, in time that grows with its length; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 KEY = b"phasegrid-surrogates"
 ROUNDS = 8
 
-_EMAIL = re.compile(r"[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _PHONE = re.compile(
     r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-]*\d)"
 )
@@ -49,14 +54,18 @@ _TITLES = (
     "|Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Signora|Senhora|госпожа|г-жа"
     "|Dr|Prof"
 )
-_NAME = re.compile(
-    rf"(?<!\w)({_TITLES})\.? ((?:[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)(?:[ -][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+){{0,2}})"
-)
+_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
+_NAME = re.compile(rf"(?<!\w)({_TITLES})\.? ({_WORD}(?:[ -]{_WORD}){{0,2}})")
+_CAPITALISED = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 
 _GIVEN = {
     "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Peter Hans Karl Jürgen Klaus Wolfgang Pierre Jean Louis Henri Antoine José Juan Carlos Miguel Pedro".split(),
     "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Anna Emma Olivia Sophie Laura Ursula Greta Ingrid Monika Claire Camille Juliette Margot Hélène María Carmen Lucía Isabel Elena".split(),
 }
+_GIVEN["m"] += "George Edward Henry Frank Arthur Walter Simon Martin Stefan Andreas Markus Uwe Jens Ralf Dieter Günter Heinz Werner Luc Marc Olivier Philippe Nicolas François Julien Étienne Jorge Luis Diego Pablo Rafael Fernando Andrés Sergio Javier".split()
+_GIVEN["f"] += "Helen Margaret Rita Alice Grace Emily Hannah Julia Sabine Petra Birgit Andrea Heike Renate Katrin Silke Ilse Martina Chantal Nathalie Sylvie Brigitte Céline Élodie Amélie Valérie Ana Rosa Pilar Teresa Beatriz Cristina Raquel Sofía Marta".split()
+_GIVEN["m, Cyrillic"] = "Иван Пётр Сергей Андрей Дмитрий Алексей Николай Михаил Владимир Александр Павел Юрий Олег Игорь Виктор Максим".split()
+_GIVEN["f, Cyrillic"] = "Мария Анна Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Людмила Галина Юлия Вера Надежда Дарья Ксения".split()
 _GENDER = {n: g for g, names in _GIVEN.items() for n in names}
 #: Alphabets within which letters are exchanged.
 _ALPHABETS = [
@@ -222,13 +231,43 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return "".join(out)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses, from each @ outwards: the domain ahead, the local part back to the last address at most."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        m = _DOMAIN.match(text, at + 1)
+        a = at
+        while m and a > last and (text[a - 1].isalnum() or text[a - 1] in "_.%+-"):
+            a -= 1
+        if a < at:
+            yield a, m.end()
+            last = m.end()
+        at = text.find("@", max(last, at + 1))
+
+
+def _names(text: str) -> list[tuple[int, int]]:
+    """Names after a form of address, and all mentions of their words; neighbouring words are one mention."""
+    titled = [(m.start(2), m.end(2)) for m in _NAME.finditer(text)]
+    if not titled:
+        return []
+    known = {w for a, b in titled for w in re.split("[ -]", text[a:b])}
+    found: list[tuple[int, int]] = []
+    for m in _CAPITALISED.finditer(text):
+        if m.group() in known:
+            if found and m.start() == found[-1][1] + 1 and text[m.start() - 1] in " -":
+                found[-1] = (found[-1][0], m.end())
+            else:
+                found.append((m.start(), m.end()))
+    return found
+
+
 def find_entities(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of a text's entities, by start, without overlaps; code points, end exclusive."""
     if not text:
         return []
-    found: list[tuple[str, int, int]] = []
+    found: list[tuple[str, int, int]] = []  # the more specific kinds first
     if "@" in text:
-        found += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
+        found += [("email", a, b) for a, b in _emails(text)]
     if re.search(r"\d{2}", text):
         found += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if _iban_ok(m.group().replace(" ", ""))]
         found += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if luhn(re.sub(r"\D", "", m.group()))]
@@ -236,15 +275,13 @@ def find_entities(text: str | None) -> list[tuple[str, int, int]]:
         found += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text)]
     if text.count(".") > 2 and re.search(r"\d\.\d", text):
         found += [("ip", m.start(), m.end()) for m in _IP.finditer(text)]
-    found += [("name", m.start(2), m.end(2)) for m in _NAME.finditer(text)]
-    rank = ("email", "iban", "card", "ssn", "phone", "ip", "name")
-    kept: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
-    for e in sorted(found, key=lambda e: (rank.index(e[0]), e[1])):
-        if all(e[2] <= a or e[1] >= b for a, b in taken):
-            kept.append(e)
-            taken.append((e[1], e[2]))
-    return sorted(kept, key=lambda e: e[1])
+    found += [("name", a, b) for a, b in _names(text)]
+    taken: list[tuple[int, int, str]] = []  # by start
+    for kind, a, b in found:
+        i = bisect.bisect_left(taken, (b,))
+        if not i or taken[i - 1][1] <= a:
+            taken.insert(i, (a, b, kind))
+    return [(kind, a, b) for a, b, kind in taken]
 
 
 def replace_entities(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[str, int, int, str, str]]]:

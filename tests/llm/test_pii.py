@@ -1,5 +1,8 @@
+import itertools
 import random
 import re
+import string
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,3 +98,59 @@ def test_nothing_is_its_own_surrogate():
     assert op.replace_entities("write to _@example.com")[0] == "write to _@example.com"
     kept = {op.surrogate("ip", f"192.168.{i}.{j}") for i in range(20) for j in range(20)}
     assert len(kept) == 400 and all(s.startswith("192.168.") for s in kept)
+
+
+def test_every_short_local_part_has_its_own_surrogate(make):
+    parts = [*string.ascii_lowercase[:21], *("".join(p) for p in itertools.product("bgmsx", string.ascii_lowercase[:21]))]
+    news = {op.surrogate("email", f"{p}@example.com") for p in parts}
+    assert len(news) == len(parts) and all(op.surrogate("email", f"{p}@example.com") != f"{p}@example.com" for p in parts)
+    assert op.collisions(make([(i, f"to {p}@example.com.", "s") for i, p in enumerate(parts)])).collect() == []
+
+
+def test_later_mentions_of_a_name_are_replaced_alike():
+    text = "Smith was early. Mr. John Smith came. Later Smith and John Smith left; Smithson and smith stayed, John's too."
+    new, spans = op.replace_entities(text)
+    assert [text[a:b] for _, a, b, _, _ in spans] == ["Smith", "John Smith", "Smith", "John Smith", "John"]
+    john, smith = spans[1][4].split()
+    assert [s[4] for s in spans] == [smith, f"{john} {smith}", smith, f"{john} {smith}", john]
+    assert john in op._GIVEN["m"] and "Smithson and smith stayed" in new
+
+
+def test_given_names_keep_gender_and_script():
+    assert len(op._GENDER) == sum(map(len, op._GIVEN.values()))
+    for group, names in op._GIVEN.items():
+        assert {op.surrogate("name", n) for n in names} == set(names), group
+
+
+def brute_entities(text):
+    """The kinds one after the other, each detection held against all that were taken before."""
+    email = re.compile(r"[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+    found = [("email", m.start(), m.end()) for m in email.finditer(text)]
+    found += [("iban", m.start(), m.end()) for m in op._IBAN.finditer(text) if op._iban_ok(m.group().replace(" ", ""))]
+    found += [("card", m.start(), m.end()) for m in op._CARD.finditer(text) if op.luhn(re.sub(r"\D", "", m.group()))]
+    for kind, pattern in (("ssn", op._SSN), ("phone", op._PHONE), ("ip", op._IP)):
+        found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
+    known = {w for m in op._NAME.finditer(text) for w in re.split("[ -]", m.group(2))}
+    if known:
+        any_of = "|".join(map(re.escape, sorted(known)))
+        found += [("name", m.start(), m.end()) for m in re.finditer(rf"(?<!\w)(?:{any_of})(?!\w)(?:[ -](?:{any_of})(?!\w))*", text)]
+    kept = []
+    for e in found:
+        if all(e[2] <= a or e[1] >= b for _, a, b in kept):
+            kept.append(e)
+    return sorted(kept, key=lambda e: e[1])
+
+
+def test_entities_against_brute_force():
+    r = random.Random(3)
+    bits = ["a.b@x.de", "a@b@c.org", "@", "@x", "Mr. John Smith", "Smith", "John", "Frau Schmidt-Smith", "Schmidt", "10.0.0.7", "123-45-6789", "743-555-3824", "4111 1111 1111 1111", " ", " ", "-", ".", "é", "DE89370400440532013000", "x_1"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randint(1, 14)))
+        assert op.find_entities(text) == brute_entities(text), text
+
+
+def test_time_grows_with_length():
+    for text in ("a" * 1_000_000, "a@" * 300_000, "Mr. Smith " * 50_000, "a@b.de " * 50_000, "1" * 500_000, "1 " * 200_000, "A" * 500_000):
+        began = time.time()
+        op.replace_entities(text)
+        assert time.time() - began < 15, text[:20]
