@@ -6,6 +6,7 @@ Everything here is built from DataFrame functions, so an operator that uses only
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,19 +45,21 @@ def words(text: Column) -> Column:
 
 
 def md5_int(text: Column) -> Column:
-    """The first 32 bits of the MD5 of a string, as a long: a hash that DuckDB and Python can reproduce."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    """The first 60 bits of the MD5 of a string, as a long: a hash that DuckDB and Python can reproduce."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
     """Make sure that ``checkpoint()`` has a folder.
 
-    A cluster names a folder that all executors share in ``spark.checkpoint.dir``; a private one is set only where
-    there is none, as in local tests.
+    A cluster names a folder that all executors share in ``spark.checkpoint.dir``; without one this raises. Only where
+    driver and executors are one process, as in tests, a private folder is set instead.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="phasegrid-checkpoint-"))
 
 
@@ -74,3 +77,15 @@ def release(spark: SparkSession) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Rows with the columns of their group, or nulls; ``size`` is a group's number of rows out of ``total``.
+
+    Groups that hold more than a thousandth of all rows are fewer than a thousand, so they are broadcast and no task
+    gets all rows of one; the others meet by shuffle. Both tables are read twice: cut them before.
+    """
+    large = F.col(size) * 1000 > total
+    hot = F.broadcast(groups.where(large))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(groups.where(~large), on, "left")
+    return rows.join(hot, on).unionByName(rest)

@@ -2,11 +2,13 @@
 
 DataFrame functions only. The texts are hashed in one pass that keeps ids and digests; only texts whose hash occurs
 more than once are moved, and a grouping on the text itself (with map-side aggregation, so that a group holding a third
-of all rows leaves each task as one row) compares their bytes. A text with a colliding hash thus stays apart.
+of all rows leaves each task as one row) compares their bytes. Where all texts of a hash are equal, its rows are that
+group; rows of a hash that several texts share find theirs by the text. A digest of equal texts is never taken for proof.
 
 Defined cases: a null text counts as empty; all empty texts are one group; a null ``doc_id`` is smaller than any other
-and wins only in a group of null ids; rows that repeat the winning ``doc_id`` are all marked kept; an empty table gives
-an empty result; further columns are ignored.
+and wins only in a group of null ids; rows that repeat the winning ``doc_id`` are all marked kept; very long texts are
+hashed and compared whole; an empty table gives an empty result; further columns are ignored by ``exact_groups`` and kept
+by ``drop_copies``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import UPPER, cut, lower_ascii, whole
+from phasegrid.llm.common import UPPER, cut, join_groups, lower_ascii, whole
 
 
 def normalised(text: Column | str = "text") -> Column:
@@ -33,17 +35,28 @@ def exact_groups(docs: DataFrame, hash_of=None) -> DataFrame:
     sha = F.sha2(norm.cast("binary"), 256)
     digests = cut(docs.select("doc_id", sha.alias("text_sha256")))
     digests = digests.withColumn("h", hash_of(F.col("text_sha256")))
-    repeated = digests.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    candidates = digests.join(repeated, "h", "left_semi").select(F.col("doc_id").alias("c_id"))
+    repeated = cut(digests.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    total = digests.count()
+    candidates = join_groups(digests, repeated, ["h"], "n", total).where("n IS NOT NULL").select(F.col("doc_id").alias("c_id"))
     texts = docs.select("doc_id", "text").join(candidates, F.col("doc_id").eqNullSafe(F.col("c_id")), "left_semi")
-    same_bytes = (
+    same_bytes = cut(
         texts.select("doc_id", norm.alias("norm"))
         .groupBy("norm")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select(F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-        .withColumn("h", hash_of(F.col("text_sha256")))
+        .select(hash_of(F.sha2(F.col("norm").cast("binary"), 256)).alias("h"), "keep_id", "group_size")
+        .join(repeated.select("h"), "h", "left_semi")  # not the other texts of a repeated id
     )
-    found = digests.join(same_bytes, ["h", "text_sha256"], "left")
+    collided = cut(same_bytes.groupBy("h").agg(F.count("*").alias("texts"), F.sum("group_size").alias("n")).where("texts > 1"))
+    groups = same_bytes.join(collided, "h", "left_anti")
+    rows = digests
+    if not collided.isEmpty():
+        rows = cut(join_groups(digests, collided, ["h"], "n", total).where("texts IS NULL").select(digests.columns))
+    found = join_groups(rows, groups, ["h"], "group_size", total)
+    if not collided.isEmpty():
+        told = docs.select("doc_id", norm.alias("norm"), sha.alias("text_sha256")).withColumn("h", hash_of(F.col("text_sha256")))
+        told = cut(told.join(collided.select("h"), "h", "left_semi"))
+        per_text = cut(told.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+        found = found.unionByName(join_groups(told, per_text, ["norm"], "group_size", total).select(found.columns))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id",

@@ -11,15 +11,17 @@ places and counted by source and shard. An unconditioned draw would let a source
 square root of its blocks. Everything that is taken comes from these counts: shards use up a source's slots in turn.
 
 *Permutations* are swap-or-not shuffles (Hoang, Morris, Rogaway 2012), which work on any domain size without cycle
-walking and are evaluated row by row; nothing is sorted or collected by source.
+walking and are evaluated row by row, with 60-bit hashes; nothing is sorted or collected by source.
 
 *Scale.* One pass over the texts yields (id, source, words), which is cut to the checkpoint folder; all later rows are
 numbers. Packing sums within buckets of about 32,768 documents (a hot source spans many buckets) and then over buckets;
-the table of sources has one row each. Draws are placed in chunks of 65,536 that are first spread over tasks; slots are
+the table of sources has one row each. Draws are placed in chunks of 8,192 that are first spread over tasks; slots are
 generated from the shard counts, at most 1,024 from a row.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; documents without words
-take nothing; an empty table gives an empty result; repeated rows are packed as documents of their own.
+take nothing; repeated rows, and rows of one id or without one, are packed as documents of their own; very long texts
+span as many blocks as they fill; an empty table gives an empty result; further columns are ignored by ``mixed_sizes``
+and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -35,12 +37,19 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 ROUNDS = 16
 BUCKET = 32_768
-CHUNK = 65_536
+CHUNK = 8_192
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size``: words of each document. Written out once, since everything else derives from it."""
-    return cut(docs.select("doc_id", "source", word_count(whole("text")).alias("size")))
+def row_key() -> Column:
+    """A digest of a document's id and text: equal only for rows that repeat both."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), whole("text")).cast("binary"))
+
+
+def sized(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """``doc_id, source, size``: words of each document, with ``row_key`` if asked for. Written out once, since everything
+    else derives from it."""
+    key = [row_key().alias("key")] if keyed else []
+    return cut(docs.select("doc_id", "source", word_count(whole("text")).alias("size"), *key))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -79,13 +88,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = L
     return ranked.select("source", "source_size", "rank", target.alias("target"))
 
 
-def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+def offsets(n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    """The round constants of a permutation of 0..n-1: an array for ``permuted``, computed once for many rows."""
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.pmod(md5_int(F.concat_ws(":", key, r)), n))
+
+
+def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS, constants: Column | None = None) -> Column:
     """Image of ``x`` under the pseudorandom permutation of 0..n-1 that ``key`` names."""
+    constants = offsets(n, key, rounds) if constants is None else constants
 
     def step(at: Column, r: Column) -> Column:
-        label = F.concat_ws(":", key, r)
-        other = F.pmod(F.pmod(md5_int(label), n) - at, n)
-        swap = md5_int(F.concat_ws(":", label, F.greatest(at, other))) % 2 == 1
+        other = F.pmod(F.get(constants, r - 1) - at, n)
+        swap = md5_int(F.concat_ws(":", key, r, F.greatest(at, other))) % 2 == 1
         return F.when(swap, other).otherwise(at)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, step)
@@ -139,12 +153,14 @@ def shard_counts(quota: DataFrame, shard: int = SHARD, rounds: int = ROUNDS) ->
     ``in_shard`` all of the shard's: ``shard``, or what is left in the last one.
     """
     chunks = quota.where("draws > 0").select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk")
+        "*",
+        offsets(F.col("slots"), F.lit("slot"), rounds).alias("constants"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK))).alias("chunk"),
     )
     chunks = chunks.repartition(shuffle_partitions(quota.sparkSession), "rank", "chunk")
     last = F.least(F.col("draws"), (F.col("chunk") + 1) * CHUNK) - 1
     one = chunks.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("i"))
-    at = permuted(F.col("first_slot") + F.col("i"), F.col("slots"), F.lit("slot"), rounds)
+    at = permuted(F.col("first_slot") + F.col("i"), F.col("slots"), F.lit("slot"), rounds, F.col("constants"))
     counts = one.groupBy("rank", "blocks", F.floor(at / shard).alias("shard")).agg(F.count("*").alias("n"))
     of_source = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     of_shard = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -158,15 +174,17 @@ def shard_counts(quota: DataFrame, shard: int = SHARD, rounds: int = ROUNDS) ->
 
 def slots(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The slots that the shard counts ask for: ``rank, pass, block_index, shard, position``."""
+    s, p = F.concat(F.lit("s"), F.col("rank")), F.concat(F.lit("p"), F.col("shard"))
     counts = counts.repartition(shuffle_partitions(counts.sparkSession), "rank", "shard")
+    counts = counts.select("*", offsets(F.col("blocks"), s, rounds).alias("of_source"), offsets(F.col("in_shard"), p, rounds).alias("of_shard"))
     one = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     one = one.withColumn("i", F.col("first") + F.col("j"))
     return one.select(
         "rank",
         F.floor(F.col("i") / F.col("blocks")).alias("pass"),
-        permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.concat(F.lit("s"), F.col("rank")), rounds).alias("block_index"),
+        permuted(F.col("i") % F.col("blocks"), F.col("blocks"), s, rounds, F.col("of_source")).alias("block_index"),
         "shard",
-        permuted(F.col("before") + F.col("j"), F.col("in_shard"), F.concat(F.lit("p"), F.col("shard")), rounds).alias("position"),
+        permuted(F.col("before") + F.col("j"), F.col("in_shard"), p, rounds, F.col("of_shard")).alias("position"),
     )
 
 
@@ -178,35 +196,43 @@ def pieces(place: DataFrame, block: int = BLOCK) -> DataFrame:
     begin = F.greatest(F.col("b") * block, F.col("start"))
     end = F.least((F.col("b") + 1) * block, F.col("start") + F.col("size"))
     return cuts.select(
-        "rank", "bucket", "rn", "doc_id",
+        "rank", "bucket", "rn", "doc_id", *[c for c in ("key", "nth") if c in place.columns],
         (F.col("first_block") + F.col("b")).alias("block_index"),
         (begin - F.col("start")).alias("from_word"),
         (end - begin).alias("n_words"),
     )
 
 
-def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with their source's target and place, pieces of documents by block, slots of the mix)."""
-    sizes = sized(docs)
+def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, keyed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their source's target and place, pieces of documents by block, slots of the mix).
+
+    ``keyed``: documents and pieces carry ``key`` and ``nth``, the row's number among those of its key.
+    """
+    sizes = sized(docs, keyed)
     goal = cut(targets(sizes))
     place = packed(sizes, block)
     named = goal.withColumnRenamed("source", "g_source")
     place = place.join(named, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
+    if keyed:
+        place = place.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("source")))
     place = cut(place)
     return place, pieces(place, block), slots(cut(shard_counts(quotas(goal, place), shard)))
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``."""
+    """One row per document: ``doc_id, size, source_size, target, taken, first_shard``.
+
+    ``first_shard`` is the first output shard that holds words of the document; null if it isn't taken.
+    """
     place, parts, drawn = plan(docs)
-    times = drawn.groupBy("rank", "block_index").agg(F.count("*").alias("times"))
+    times = drawn.groupBy("rank", "block_index").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"))
     taken = (
         parts.join(times, ["rank", "block_index"])
         .groupBy("rank", "bucket", "rn")
-        .agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
+        .agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"), F.min("first_shard").alias("first_shard"))
     )
     return place.join(taken, ["rank", "bucket", "rn"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard"
     )
 
 
@@ -230,20 +256,23 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A pass that draws all of a document's blocks returns its text unchanged; otherwise the words of the drawn blocks,
     in order, joined by single spaces. What is drawn follows the shard counts, but a document stays together: laid out by
     shard, its blocks would fall apart (``mixed_blocks``). Documents that no slot draws are left out. Columns are those of ``docs``;
-    ``n_chars``, if there, is that of the new text. Needs a unique ``doc_id``.
+    ``n_chars``, if there, is that of the new text. Rows are told apart by id and text, those that repeat both by their
+    number among their like.
     """
-    place, parts, drawn = plan(docs)
+    place, parts, drawn = plan(docs, keyed=True)
     # Slots come out of a few rows of chunks, so the planner takes them for few and would broadcast them: they aren't.
     times = drawn.select("rank", "block_index", "pass").hint("merge")
-    spans = parts.join(times, ["rank", "block_index"]).groupBy("doc_id", "pass")
+    spans = parts.join(times, ["rank", "block_index"]).groupBy("key", "nth", "pass")
     spans = spans.agg(
         F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"), F.sum("n_words").alias("n_taken")
     )
-    spans = spans.groupBy(F.col("doc_id").alias("__pg_id")).agg(
-        F.collect_list(F.struct("pass", "spans", "n_taken")).alias("__pg_passes")
+    spans = spans.groupBy(F.col("key").alias("__pg_id")).agg(
+        F.collect_list(F.struct("nth", "pass", "spans", "n_taken")).alias("__pg_passes")
     )
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__pg_id")))
-    row = joined.select("*", F.explode("__pg_passes").alias("__pg_m"))
+    same_key = Window.partitionBy("__pg_key").orderBy("source")
+    rows = docs.withColumn("__pg_key", row_key()).withColumn("__pg_nth", F.row_number().over(same_key))
+    joined = rows.join(spans, F.col("__pg_key") == F.col("__pg_id"))
+    row = joined.select("*", F.explode("__pg_passes").alias("__pg_m")).where(F.col("__pg_m.nth") == F.col("__pg_nth"))
     tokens = F.regexp_extract_all(whole("text"), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
     part = lambda w, s: F.slice(w, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int"))
     parts = F.transform(F.array(tokens), lambda w: F.flatten(F.transform("__pg_m.spans", lambda s: part(w, s))))  # words once
@@ -262,7 +291,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def _sql_perm(x: str, n: str, key: str) -> str:
     """``permuted`` in DuckDB."""
-    h = lambda s: f"CAST('0x' || substr(md5({s}), 1, 8) AS BIGINT)"
+    h = lambda s: f"CAST('0x' || substr(md5({s}), 1, 15) AS BIGINT)"
     other = f"((({h(f'{key} || chr(58) || r')} % {n}) - x + {n}) % {n})"
     swap = f"{h(f'{key} || chr(58) || r || chr(58) || greatest(x, {other})')} % 2 = 1"
     return f"list_reduce(list_prepend(CAST({x} AS BIGINT), [CAST(q AS BIGINT) FOR q IN range(1, {ROUNDS + 1})]), lambda x, r: CASE WHEN {swap} THEN {other} ELSE x END)"
@@ -287,7 +316,7 @@ goal AS (
   FROM levels, level),
 b AS (SELECT count(*) // {BUCKET} + 1 AS buckets FROM sizes),
 placed0 AS (
-  SELECT s.*, g.source_size, g.rank, g.target, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % buckets AS bucket
+  SELECT s.*, g.source_size, g.rank, g.target, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % buckets AS bucket
   FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source, b),
 placed AS (
   SELECT *, row_number() OVER w AS rn, CAST(sum(size) OVER (PARTITION BY rank, bucket ORDER BY doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
@@ -296,13 +325,19 @@ pb AS (SELECT rank, bucket, CAST(ceil(sum(size) / {BLOCK}) AS BIGINT) AS nb FROM
 offs AS (SELECT rank, bucket, CAST(sum(nb) OVER (PARTITION BY rank ORDER BY bucket) - nb AS BIGINT) AS fb, CAST(sum(nb) OVER (PARTITION BY rank) AS BIGINT) AS blocks FROM pb),
 held AS (SELECT rank, max(blocks) AS blocks FROM offs GROUP BY rank),
 quota AS (SELECT g.rank, blocks, least(CAST(floor(target * blocks / greatest(source_size, 1) + 0.5) AS BIGINT), blocks * 3) AS draws FROM goal g JOIN held USING (rank)),
-slot AS (SELECT rank, blocks, unnest(range(draws)) AS i FROM quota WHERE draws > 0),
-times AS (SELECT rank, block_index, count(*) AS times FROM (SELECT rank, {_sql_perm("i % blocks", "blocks", "('s' || rank)")} AS block_index FROM slot) GROUP BY 1, 2),
+lined AS (
+  SELECT rank, blocks, draws, CAST(sum(draws) OVER (ORDER BY rank) - draws AS BIGINT) AS first_slot, CAST(sum(draws) OVER () AS BIGINT) AS slots FROM quota),
+draw AS (SELECT rank, blocks, slots, first_slot + unnest(range(draws)) AS i FROM lined WHERE draws > 0),
+sharded AS (SELECT rank, blocks, {_sql_perm("i", "slots", "'slot'")} // {SHARD} AS shard FROM draw),
+slot AS (SELECT rank, blocks, shard, row_number() OVER (PARTITION BY rank ORDER BY shard) - 1 AS i FROM sharded),
+times AS (
+  SELECT rank, block_index, count(*) AS times, min(shard) AS first_shard
+  FROM (SELECT rank, shard, {_sql_perm("i % blocks", "blocks", "('s' || rank)")} AS block_index FROM slot) GROUP BY 1, 2),
 cuts AS (
   SELECT p.rank, p.bucket, p.rn, start, size, fb, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS blk
   FROM placed p JOIN offs USING (rank, bucket) WHERE size > 0),
 taken AS (
-  SELECT c.rank, c.bucket, c.rn, CAST(sum((least((blk + 1) * {BLOCK}, start + size) - greatest(blk * {BLOCK}, start)) * t.times) AS BIGINT) AS taken
+  SELECT c.rank, c.bucket, c.rn, CAST(sum((least((blk + 1) * {BLOCK}, start + size) - greatest(blk * {BLOCK}, start)) * t.times) AS BIGINT) AS taken, min(t.first_shard) AS first_shard
   FROM cuts c JOIN times t ON t.rank = c.rank AND t.block_index = fb + blk GROUP BY 1, 2, 3)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (rank, bucket, rn)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_shard FROM placed LEFT JOIN taken USING (rank, bucket, rn)
 """

@@ -33,6 +33,12 @@ def test_colliding_hashes_are_told_apart(make):
     assert got(op.exact_groups(make(rows), lambda sha: F.lit("same"))) == expected(rows)
 
 
+def test_some_hashes_collide(make):
+    rows = [(i, f"text {i % 60}" if i % 4 else "hot", "s") for i in range(240)] + [(None, "text 7", "s"), (8, "text 9", "s"), (8, "hot", "s")]
+    for n in (1, 2, 3):
+        assert got(op.exact_groups(make(rows), lambda sha: F.substring(sha, 1, n))) == expected(rows)
+
+
 def test_empty_table(make):
     assert op.exact_groups(make([])).collect() == []
     assert op.drop_copies(make([])).collect() == []

@@ -139,3 +139,21 @@ def test_taken_words_follow_the_shard_counts(make, monkeypatch):
     assert all(less[i] <= n for i, n in whole.items())
     lost = sum(whole.values()) - sum(less.values())
     assert 0 < lost <= 64 * op.BLOCK
+
+
+def test_repeated_ids_and_rows_give_the_words_planned(make):
+    rows = [(1, " ".join(f"a{j}" for j in range(200)), "s"), (1, " ".join(f"b{j}" for j in range(200)), "s")]
+    rows += [(i, " ".join(f"c{i}_{j}" for j in range(200)), "s") for i in range(2, 8)]
+    rows += [(9, "x " * 300, "t"), (9, "x " * 300, "t"), (9, "x " * 300, None), (None, "y " * 150, "t"), (None, "z " * 150, "t")]
+    docs = make(rows)
+    planned = Counter()
+    for r in op.mixed_sizes(docs).collect():
+        planned[r.doc_id] += r.taken
+    mixed, own = Counter(), {}
+    for i, t, _ in rows:
+        own.setdefault(i, set()).update(t.split())
+    for r in op.mixed_documents(docs).collect():
+        w = WORD.findall(r.text)
+        mixed[r.doc_id] += len(w)
+        assert set(w) <= own[r.doc_id]
+    assert mixed == planned and sum(planned[i] for i in range(1, 8)) > 0
