@@ -11,7 +11,8 @@ before it. No task sees more than a range, whatever the distribution of the ids.
 
 Defined cases: a null text counts as empty; a text without words has an empty sketch, and two empty sketches are alike
 (1), an empty and another are not (0); null ids come first; rows that repeat an id are ordered by a hash of their text;
-the next document of the last is the first, of a single row itself; an empty table gives an empty result.
+the next document of the last is the first, of a single row itself; very long texts are sketched whole; equal hashes count
+once; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def resemblance(a: Column, b: Column, k: int = K) -> Column:
 
 def distinct_count(a: Column, k: int = K) -> Column:
     """Estimated number of distinct shingles; exact for a sketch that isn't full."""
-    spread = F.element_at(a, -1).cast("double") + 1
+    spread = F.try_element_at(a, F.lit(-1)).cast("double") + 1
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise((k - 1) * SPAN / spread)
 
 
@@ -142,7 +143,9 @@ def document_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """One row per document.
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``; the edited text is the
-    text with its last floor(n_chars / 2) code points replaced by the first as many of the next document's.
+    text with its last floor(n_chars / 2) code points replaced by the first as many of the next document's. Then
+    ``n_distinct``, the estimated number of distinct shingles, ``held_by_edited``, the estimated share of them that the
+    edited text holds, and ``n_distinct_with_next``, the estimated number in this text and the next together.
     """
 
     def compute(rows: DataFrame, following) -> DataFrame:
@@ -169,4 +172,7 @@ def document_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
         text_of(F.col("changed")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("changed"), k).alias("near_edited"),
         resemblance(F.col("own"), F.col("after"), k).alias("near_next"),
+        distinct_count(F.col("own"), k).alias("n_distinct"),
+        containment(F.col("own"), F.col("changed"), k).alias("held_by_edited"),
+        distinct_count(merged(F.col("own"), F.col("after"), k), k).alias("n_distinct_with_next"),
     )

@@ -29,6 +29,10 @@ def like(a, b, k=op.K):
     return 1.0 if not union else len(set(union) & set(a) & set(b)) / len(union)
 
 
+def number(s, k=op.K):
+    return float(len(s)) if len(s) < k else (k - 1) * 2.0**32 / (s[-1] + 1)
+
+
 def spelled(s):
     return "".join(f"{v:08x}" for v in s)
 
@@ -46,6 +50,10 @@ def check(docs, rows):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (spelled(a), spelled(b))
         assert abs(r.near_edited - like(a, b)) < 1e-12 and abs(r.near_next - like(a, c)) < 1e-12
+        both = sorted({*a, *b})[: op.K]
+        held = 1.0 if not a else min(1.0, like(a, b) * number(both) / max(1.0, number(a)))
+        assert abs(r.n_distinct - number(a)) < 1e-6 and abs(r.held_by_edited - held) < 1e-9
+        assert abs(r.n_distinct_with_next - number(sorted({*a, *c})[: op.K])) < 1e-6
 
 
 def test_odd_rows(make, odd):
