@@ -4,10 +4,13 @@ DataFrame functions only, and no shuffle: every row is decided where it is read.
 keyword occurs costs one word count and a few substring searches. Others are reduced to lower-case words joined by
 single spaces; the rules whose keyword the result holds mark their matches in it, and the marked words give the spans.
 Sorted by start, longest first, one fold then drops each detection that lies inside another of the same or a higher
-priority. Base places (the three phrases of ``BASE``) are never dropped.
+priority; it goes through them in pieces, so that what it has kept is not copied at every step. Base places (the three
+phrases of ``BASE``) are never dropped.
 
 Defined cases: a null text counts as empty; a text without words has zero counts, null positions, empty labels and score
-0; repeated rows and null ids are rows like any other; an empty table gives an empty result.
+0; of equal spans the higher priority stays, then the first label; very long texts are read whole; repeated rows and null
+ids are rows like any other; an empty table gives an empty result; further columns are ignored by ``license_digest`` and
+kept by ``scan``, but for one of the name that it adds.
 """
 
 from __future__ import annotations
@@ -31,7 +34,10 @@ ROOTS = (
     "unencumbered", "attribution", "jpeg", "leffler", "mozilla", "eclipse", "exception", "linking", "plainly",
     "advertising", "consortium", "liable", "copying", "secret", "cc by", "cc-by", "endorse", "extent", "creativecommons", "reproduction",
 )
+#: The one root of two words, with whatever may stand between them.
+ROOT_PAIR = f"cc[{GAP}]+by"
 _OPEN, _CLOSE = "\x01", "\x02"
+PIECE = 64
 
 
 def _rule_table() -> Column:
@@ -83,28 +89,43 @@ def _detections(norm: Column) -> Column:
         )
     )
     kind = "array<struct<start:int,minus_end:int,priority:int,label:string,confidence:double>>"
-    start = F.struct(F.array_repeat(F.lit(0), 5).alias("reach"), F.lit(None).cast(kind).alias("kept"))
-    start = F.struct(start["reach"].alias("reach"), F.coalesce(start["kept"], F.array().cast(kind)).alias("kept"))
+
+    def state(reach: Column, kept: Column) -> Column:
+        return F.struct(reach.alias("reach"), kept.alias("kept"))
+
+    def empty(of: str) -> Column:
+        return F.coalesce(F.lit(None).cast(of), F.array().cast(of))
 
     def step(acc: Column, d: Column) -> Column:
         inside = F.exists(F.slice(acc["reach"], 1, d["priority"]), lambda reach: reach >= -d["minus_end"])
         reach = F.transform(
             acc["reach"], lambda v, i: F.when(i + 1 == d["priority"], F.greatest(v, -d["minus_end"])).otherwise(v)
         )
-        return F.when(inside, acc).otherwise(F.struct(reach.alias("reach"), F.concat(acc["kept"], F.array(d)).alias("kept")))
+        return F.when(inside, acc).otherwise(state(reach, F.concat(acc["kept"], F.array(d))))
+
+    def piece(acc: Column, ds: Column) -> Column:
+        done = F.aggregate(ds, state(acc["reach"], empty(kind)), step)
+        return _let(done, lambda r: state(r["reach"], F.concat(acc["kept"], F.array(r["kept"]))))
 
-    return F.aggregate(F.array_sort(found), start, step, lambda acc: acc["kept"])
+    def resolved(ds: Column) -> Column:
+        n = F.size(ds)
+        at = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")))
+        pieces = F.transform(at, lambda i: F.slice(ds, i * PIECE + 1, F.lit(PIECE)))
+        start = state(F.array_repeat(F.lit(0), 5), empty(f"array<{kind}>"))
+        return F.coalesce(F.aggregate(pieces, start, piece, lambda acc: F.flatten(acc["kept"])), empty(kind))
 
+    return _let(F.array_sort(found), resolved)
 
-def scan(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``scan``: a struct of the word count, base places and kept detections.
 
-    ``scan``: ``n_words``, ``base`` array of (start, label), ``detections`` array of (start, minus_end, priority, label,
+def scan(docs: DataFrame, name: str = "scan") -> DataFrame:
+    """All columns of ``docs`` and one of the name given: a struct of the word count, base places and kept detections.
+
+    Its fields: ``n_words``, ``base`` array of (start, label), ``detections`` array of (start, minus_end, priority, label,
     confidence); positions are words from 0.
     """
     text = whole("text")
     lowered = F.lower(text)
-    gate = _let(lowered, lambda t: _any(F.contains(t, F.lit(root)) for root in ROOTS))
+    gate = _let(lowered, lambda t: _any(F.contains(t, F.lit(root)) for root in ROOTS) | F.rlike(t, F.lit(ROOT_PAIR)))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(text), f"[{GAP}]+", " ")), F.lit(" "))
     base = F.array(*[F.struct(F.lit(f"(?<= ){p}(?= )").alias("pattern"), F.lit(v).alias("label")) for p, v in BASE.items()])
     places = lambda n: F.flatten(
@@ -119,17 +140,15 @@ def scan(docs: DataFrame) -> DataFrame:
         gate, _let(norm, lambda n: F.struct(places(n).alias("base"), _detections(n).alias("detections")))
     )
     n_words = F.regexp_count(text, F.lit(f"[^{GAP}]+")).cast("long")
-    rows = docs.withColumn("_hits", hits)
     empty = F.array().cast("array<struct<start:int,label:string>>")
     none = F.array().cast("array<struct<start:int,minus_end:int,priority:int,label:string,confidence:double>>")
-    return rows.withColumn(
-        "scan",
-        F.struct(
-            n_words.alias("n_words"),
-            F.coalesce(F.col("_hits.base"), empty).alias("base"),
-            F.coalesce(F.col("_hits.detections"), none).alias("detections"),
+    found = _let(
+        hits,
+        lambda h: F.struct(
+            n_words.alias("n_words"), F.coalesce(h["base"], empty).alias("base"), F.coalesce(h["detections"], none).alias("detections")
         ),
-    ).drop("_hits")
+    )
+    return docs.withColumn(name, found)
 
 
 def _any(conditions) -> Column:

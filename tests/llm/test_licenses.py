@@ -1,5 +1,6 @@
 import re
 import string
+import time
 
 from phasegrid.llm import licenses as op
 from phasegrid.llm.license_rules import rules
@@ -53,10 +54,10 @@ def test_hundreds_of_rules_with_keywords():
 def test_digest_and_detections(make, odd):
     rows = odd + [(100 + i, t, "s") for i, t in enumerate(TEXTS)]
     docs = make(rows)
-    for (i, t, _), r in zip(sorted(rows, key=str), sorted(op.license_digest(docs).collect(), key=lambda r: str((r.doc_id,)))):
-        pass
+    found = op.license_digest(docs).collect()
+    assert len(found) == len(rows)
     by_text = {}
-    for r in op.license_digest(docs).collect():
+    for r in found:
         by_text.setdefault(r.doc_id, r)
     for i, t, _ in rows:
         r = by_text[i]
@@ -73,3 +74,25 @@ def test_many_matches_and_empty_table(make):
     r = op.license_digest(make([(1, "MIT License " * 2000, "s")])).first()
     assert (r.n_base, r.last_word, r.labels) == (2000, 3998, "mit")
     assert op.license_digest(make([])).collect() == []
+
+
+def test_words_of_a_root_may_stand_apart(make):
+    texts = ["CC_BY_4.0", "CC/BY-SA 4.0", "cc  by 4.0", "CC\nBY-NC 4.0", "accept by 4.0"]
+    for r in op.license_digest(make([(i, t, "s") for i, t in enumerate(texts)])).collect():
+        assert set(filter(None, r.labels.split(","))) == {d[3] for d in brute_detections(texts[r.doc_id])}
+        assert bool(r.labels) == (r.doc_id < 4)
+
+
+def test_time_grows_with_the_number_of_matches(make):
+    seconds = []
+    for n in (8000, 32_000):
+        docs = make([(1, "licensed under gpl 3 or apache 2.0 then " * n, "s")])
+        began = time.time()
+        assert op.license_digest(docs).first().labels
+        seconds.append(time.time() - began)
+    assert seconds[1] < 8 * seconds[0] + 5
+
+
+def test_clashing_names(make):
+    docs = make([(1, "MIT License", "s")])
+    assert op.scan(docs, "other").columns == [*docs.columns, "other"] and op.scan(docs).columns == docs.columns
