@@ -9,14 +9,16 @@ repetition, so that repeated words are n-grams of their own.
 
 *k* is not given but estimated: the number of documents that the target model explains better than the raw model of
 rejected text does, that is, whose log-weight is positive. Noise is drawn from a hash of the document's id and text and a
-key, so reruns agree. The k-th largest value is found by counting leading bits, four small jobs, not by sorting.
+key, so reruns agree. The k-th largest value is found by counting in ever narrower bins, not by sorting.
 
 *Bounds.* The target model may use at most ``FIT_ROWS`` labelled rows (those with the smallest hashed ids), which bounds
 the broadcast of labels; every document counts in the raw model. Counts have ``BUCKETS`` rows.
 
 Defined cases: null or empty text has log-weight 0 and is rejected; a document without a label counts in the raw model
-only; without any good label every document with words is kept; repeated rows are sampled separately, with equal keys; an
-empty table gives an empty result; further columns are ignored by the scoring and kept by the filter.
+only; one that is labelled both ways isn't taken for good; without any good label every document with words is kept;
+rows that repeat id and text have equal keys, so they stay or go together, and equal keys at the k-th place all stay; rows
+that repeat an id with other texts are sampled separately; very long texts are read whole; an empty table gives an empty
+result; further columns are ignored by the scoring and kept by the filter.
 """
 
 from __future__ import annotations
@@ -83,7 +85,8 @@ def _counter(buckets: int):
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS) -> np.ndarray:
     """log p_target - log p_raw of every bucket."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
+    good = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
+    good = good.where("least = 1 AND most = 1").select("doc_id")
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumn("good", F.lit(True))
     rows = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")  # at most fit_rows ids
     counts = rows.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(
@@ -101,7 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fit_rows: in
 
 
 def scored(docs: DataFrame, model: np.ndarray, key: int = KEY) -> DataFrame:
-    """``doc_id, log_weight, gumbel_key`` of every document; without words log-weight 0 and no key."""
+    """``doc_id, log_weight, gumbel_key, text_hash`` of every document; without words log-weight 0 and no key.
+
+    ``text_hash`` is the engine's 64-bit hash of the text, which tells rows of one id apart.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     buckets = len(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -109,7 +115,7 @@ def scored(docs: DataFrame, model: np.ndarray, key: int = KEY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w = _Hashes(), shared.value
         for batch in batches:
-            weights, keys = [], []
+            weights, keys, hashes = [], [], []
             for i, text in zip(batch.column(0), batch.column(1)):
                 t = text.as_py()
                 at = ngrams(t, known, buckets)
@@ -117,24 +123,24 @@ def scored(docs: DataFrame, model: np.ndarray, key: int = KEY) -> DataFrame:
                 u = (xxhash.xxh3_64_intdigest(f"{key}:{i.as_py()}:{t}") + 0.5) / 2.0**64
                 weights.append(x)
                 keys.append(x - math.log(-math.log(u)) if len(at) else None)
+                h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+                hashes.append(h - (h >> 63 << 64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(weights, pa.float64()), pa.array(keys, pa.float64())],
-                names=["doc_id", "log_weight", "gumbel_key"],
+                [batch.column(0), pa.array(weights, pa.float64()), pa.array(keys, pa.float64()), pa.array(hashes, pa.int64())],
+                names=["doc_id", "log_weight", "gumbel_key", "text_hash"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_weight double, gumbel_key double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_weight double, gumbel_key double, text_hash long")
 
 
-def threshold(keys: DataFrame, k: int, steps: int = 40, width: int = 4096) -> float:
+def threshold(keys: DataFrame, k: int, width: int = 4096) -> float:
     """The k-th largest ``gumbel_key``, by counting in ever narrower bins (at most ``width`` rows a step).
 
     Bins are narrowed until one holds no two different values; then its largest value is the threshold.
     """
     low, high = keys.agg(F.min("gumbel_key"), F.max("gumbel_key")).first()
     left = k
-    for _ in range(steps):
-        if low is None or low == high or left <= 0:
-            break
+    while low is not None and low != high and left > 0:
         size = (high - low) / width
         if size <= 0 or low + size == low:
             break
@@ -151,17 +157,22 @@ def threshold(keys: DataFrame, k: int, steps: int = 40, width: int = 4096) -> fl
     return low if low is not None else math.inf
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: int = KEY) -> DataFrame:
-    """The sampled documents: ``doc_id, log_weight, gumbel_key, kept`` (true)."""
+def _sampled(docs: DataFrame, labels: DataFrame, key: int) -> DataFrame:
     table = cut(scored(docs, fit(docs, labels), key))
     k = table.where("gumbel_key IS NOT NULL AND log_weight > 0").count()
     rows = table.where("gumbel_key IS NOT NULL")
     if not k:
-        return rows.where("false").withColumn("kept", F.lit(True))
-    return rows.where(F.col("gumbel_key") >= threshold(rows, k)).withColumn("kept", F.lit(True))
+        return rows.where("false")
+    return rows.where(F.col("gumbel_key") >= threshold(rows, k))
+
+
+def sample(docs: DataFrame, labels: DataFrame, key: int = KEY) -> DataFrame:
+    """The sampled documents: ``doc_id, log_weight, gumbel_key, kept`` (true)."""
+    return _sampled(docs, labels, key).select("doc_id", "log_weight", "gumbel_key", F.lit(True).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: int = KEY) -> DataFrame:
     """The rows of ``docs`` that the sample holds."""
-    kept = sample(docs, labels, key).select(F.col("doc_id").alias("__pg_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__pg_id")), "left_semi")
+    kept = _sampled(docs, labels, key).select(F.col("doc_id").alias("__pg_id"), F.col("text_hash").alias("__pg_hash")).distinct()
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__pg_id")) & (own == F.col("__pg_hash")), "left_semi")

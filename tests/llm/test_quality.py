@@ -70,3 +70,22 @@ def test_odd_rows_and_empty_tables(spark, make, odd):
 def test_all_values_equal(spark):
     df = spark.createDataFrame([(1.5,)] * 9, "gumbel_key double")
     assert op.threshold(df, 4) == 1.5
+
+
+def test_rows_of_one_id_are_told_apart_by_text(spark, make):
+    rows, labels, bad = corpus()
+    twice = rows + [(i + 1 if i % 2 else i, t, s) for i, t, s in rows[:100]]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = make(twice)
+    scored = op.scored(docs, op.fit(docs, table)).collect()
+    k = sum(r.log_weight > 0 for r in scored)
+    least = sorted((r.gumbel_key for r in scored), reverse=True)[k - 1]
+    want = sorted(r.doc_id for r in scored if r.gumbel_key >= least)
+    assert sorted(r.doc_id for r in op.keep_good(docs, table).collect()) == want
+
+
+def test_a_document_labelled_both_ways_is_not_taken_for_good(spark, make):
+    rows, labels, _ = corpus(60)
+    both = [*labels, *((i, 1 - q, 0) for i, q, _ in labels[:10])]
+    make_labels = lambda x: spark.createDataFrame(x, "doc_id long, quality int, toxic int")
+    assert np.array_equal(op.fit(make(rows), make_labels(both)), op.fit(make(rows), make_labels(labels[10:])))
