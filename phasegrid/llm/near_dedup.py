@@ -9,15 +9,21 @@
    value's count over all representatives. Only those enter the lists; values that only one document holds need none.
 3. Lists of more than ``SHORT`` members link them to their smallest and largest one, not to each other; components of
    what is confirmed collapse the large groups. Then pairs of different components are compared too, so no link is lost:
-   those that meet in three short lists, and those of long lists in blocks.
+   those that meet in three short lists, and in long lists those between the largest component's members and the others,
+   and among the others. These are compared in blocks of ``BLOCK``, by products of incidence matrices, so a sketch is sent
+   once a block, and a list that has collapsed into one component costs nothing more. ``SHORT`` says which way is taken,
+   never whether a pair is compared.
 4. The union sketch estimates each candidate's resemblance and drops those below 0.5; texts of the others are compared
-   exactly, on full sets. Components are found by alternating large and small stars.
+   exactly, on full sets. A pair's text of more links is sent once for up to ``CHUNK`` partners. Components are found by
+   alternating large and small stars.
 
-All counts are over all documents; nothing is capped. Components, links and sketches stay in DataFrames.
+All counts are over all documents; nothing is capped. Components, links and sketches stay in DataFrames. Joins of rows
+with what they may share with a large part of all rows broadcast the few large groups (``common.join_groups``).
 
 Defined cases: null text, or one without words: no shingles, linked with nothing; one word: that word is its shingle; a
-null ``doc_id`` is linked with nothing and has a null component (kept); rows that repeat a ``doc_id`` are one node; an
-empty table gives an empty result.
+null ``doc_id`` is linked with nothing and has a null component (kept); rows that repeat a ``doc_id`` are one node with
+the links of all their texts; very long texts are hashed and compared whole; equal counts of values are ordered by hash;
+an empty table gives an empty result; further columns are ignored, and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -30,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import cut, release
+from phasegrid.llm.common import cut, join_groups, release
 
 K = 64
 NEEDED = 32
 MEET = 3
 SHORT = 64
-BLOCK = 256
+BLOCK = 8192
+TILE = 256
+CHUNK = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CACHE_WORDS = 400_000
 
@@ -81,7 +89,7 @@ def shingle_hashes(text: str | None, hashes: dict, size: int = 2) -> np.ndarray:
 
 
 _SKETCH = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))]
 )
 
 
@@ -90,7 +98,7 @@ def _sketches(k: int, size: int):
         known = _WordHashes()
         for batch in batches:
             ids, n, s1, s2, kept, ends = batch.column(0), [], [], [], [], [0]
-            for text in batch.column(1):
+            for text in batch.column(2):
                 u = shingle_hashes(text.as_py(), known, size)
                 sig = xxhash.xxh3_128_digest(u.tobytes())
                 n.append(len(u))
@@ -101,16 +109,20 @@ def _sketches(k: int, size: int):
             flat = np.concatenate(kept) if kept else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], schema=_SKETCH
+                [ids, batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], schema=_SKETCH
             )
 
     return run
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, text``: id and hash tell rows apart, whatever repeats."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def sketches(docs: DataFrame, k: int = K, size: int = 2) -> DataFrame:
-    """``doc_id, n, s1, s2, sketch`` of every document."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(_sketches(k, size), "doc_id long, n long, s1 long, s2 long, sketch array<long>")
+    """``doc_id, text_hash, n, s1, s2, sketch`` of every document."""
+    return _identified(docs).mapInArrow(_sketches(k, size), "doc_id long, text_hash long, n long, s1 long, s2 long, sketch array<long>")
 
 
 def _similar(a: frozenset, b: frozenset, percent: int) -> bool:
@@ -119,26 +131,28 @@ def _similar(a: frozenset, b: frozenset, percent: int) -> bool:
 
 
 def _verifier(percent: int, size: int):
+    """Rows of (a, b, text) by a: first a's own text, b being null, then its partners'."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, frozenset()
+        own, own_set = None, frozenset()
         for batch in batches:
             out_a, out_b = [], []
-            for a, b, ta, tb in zip(*(batch.column(i) for i in range(4)), strict=True):
-                a = a.as_py()
-                if a != last:
-                    last, last_set = a, shingle_set(ta.as_py(), size)
-                if _similar(last_set, shingle_set(tb.as_py(), size), percent):
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b is None:
+                    own, own_set = a, shingle_set(text.as_py(), size)
+                elif own != a:
+                    raise ValueError("a pair without its first text")
+                elif _similar(own_set, shingle_set(text.as_py(), size), percent):
                     out_a.append(a)
-                    out_b.append(b.as_py())
+                    out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
 
     return run
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int = 80, k: int = K, size: int = 2) -> DataFrame:
-    """The pairs (a, b) of ``doc_id`` whose full shingle sets have the resemblance asked for."""
+    """The pairs (a, b) of representatives whose full shingle sets have the resemblance asked for."""
     for x in "ab":  # sizes first: they are small and rule out most pairs
         pairs = pairs.join(reps.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n")), x)
     pairs = pairs.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).select("a", "b")
@@ -148,13 +162,24 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int =
     shared = F.size(F.array_intersect(union, F.array_intersect("a_sketch", "b_sketch")))
     alike = cut(pairs.where(shared * 2 >= F.size(union)).select("a", "b"))
     release(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), "text")
-    needed = alike.select(F.explode(F.array("a", "b")).alias("t_id")).distinct()
-    texts = cut(texts.join(needed, "t_id", "left_semi").dropDuplicates(["t_id"]))
+    links = cut(alike.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links")))
+    needed = reps.select("rep", "doc_id", "text_hash").join(links.select("rep"), "rep", "left_semi")
+    texts = cut(_identified(docs).join(needed, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"]))
     release(docs.sparkSession)
-    ta, tb = texts.select(F.col("t_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("t_id").alias("b"), F.col("text").alias("tb"))
-    both = alike.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verifier(percent, size), "a long, b long")
+    for x in "ab":
+        alike = alike.join(links.select(F.col("rep").alias(x), F.col("links").alias(f"{x}_links")), x)
+    more = F.struct("a_links", "a") >= F.struct("b_links", "b")
+    alike = alike.select(
+        F.when(more, F.col("a")).otherwise(F.col("b")).alias("a"),
+        F.when(more, F.col("b")).otherwise(F.col("a")).alias("b"),
+        F.greatest("a_links", "b_links").alias("links"),
+    )
+    alike = alike.select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("links") / CHUNK)).alias("chunk"), "b")
+    partners = alike.join(texts.withColumnRenamed("rep", "b"), "b").select("a", "chunk", "b", "text")
+    own = alike.select("a", "chunk").distinct().join(texts.withColumnRenamed("rep", "a"), "a")
+    rows = own.select("a", "chunk", F.lit(None).cast("long").alias("b"), "text").unionByName(partners)
+    rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b")  # nulls first
+    return rows.select("a", "b", "text").mapInArrow(_verifier(percent, size), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,34 +210,92 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rest(k: int, block: int):
-    """Pairs of two blocks of a list whose members are in different components and whose sketches are alike."""
-
-    def run(left, right):
+def _shared(left: np.ndarray, left_of: np.ndarray, right: np.ndarray, right_of: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Numbers of values that each of ``rows`` sketches shares with each of ``columns``, from values and their owners."""
+    common = np.intersect1d(left, right)
+    sides = []
+    for values, owner, n in ((left, left_of, rows), (right, right_of, columns)):
+        side = np.zeros((n, len(common)), np.float32)
+        at = np.searchsorted(common, values)
+        found = at < len(common)
+        found[found] = common[at[found]] == values[found]
+        side[owner[found], at[found]] = 1
+        sides.append(side)
+    return sides[0] @ sides[1].T
+
+
+class _Tile:
+    """Some members of a list, with near sizes."""
+
+    def __init__(self, frame):
+        self.rep, self.component, self.n = (frame[c].to_numpy(np.int64) for c in ("rep", "component", "n"))
+        sketches = frame["sketch"].to_list()
+        self.kept = np.array([len(x) for x in sketches], np.int64)
+        self.values, self.owner = np.concatenate(sketches), np.repeat(np.arange(len(sketches)), self.kept)
+
+    def candidates(self, other: _Tile, k: int) -> np.ndarray:
+        """Pairs of different components whose sizes and sketches allow a resemblance of 0.8."""
+        if self.n.max() * 5 < other.n.min() * 4 or other.n.max() * 5 < self.n.min() * 4:
+            return np.empty((0, 2), np.int64)
+        shared = _shared(self.values, self.owner, other.values, other.owner, len(self.rep), len(other.rep))
+        union = self.kept[:, None] + other.kept[None, :] - shared
+        ok = shared * 2 >= np.minimum(union, k)
+        ok &= self.component[:, None] != other.component[None, :]
+        ok &= np.minimum(self.n[:, None], other.n[None, :]) * 5 >= np.maximum(self.n[:, None], other.n[None, :]) * 4
+        x, y = np.nonzero(ok)
+        return np.sort(np.stack([self.rep[x], other.rep[y]], 1), 1)
+
+
+def _rest(k: int, tile: int):
+    """Pairs of a block of a list's members outside its largest component and a block of all its members."""
+
+    def run(members):
         import pandas as pd
 
-        rows = []
-        ls, rs = [set(s) for s in left["sketch"]], [set(s) for s in right["r_sketch"]]
-        for x, cx, nx, sx in zip(left["rep"], left["component"], left["n"], ls):
-            for y, cy, ny, sy in zip(right["r_rep"], right["r_component"], right["r_n"], rs):
-                if x < y and cx != cy and min(nx, ny) * 5 >= max(nx, ny) * 4 and 4 * len(sx & sy) >= len(sx | sy):
-                    rows.append((x, y))
-        return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+        tiles = {}
+        for outside, some in members.sort_values("n", kind="stable").groupby("outside"):
+            tiles[bool(outside)] = [_Tile(some.iloc[i : i + tile]) for i in range(0, len(some), tile)]
+        found = [x.candidates(y, k) for x in tiles.get(True, ()) for y in tiles.get(False, ())]
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
+def long_list_pairs(at: DataFrame, reps: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+    """Candidates (a, b) of lists, given as (v, rep, component): members of different components with like sketches."""
+    parts = at.groupBy("v", "component").agg(F.count("*").alias("m"))
+    largest = parts.groupBy("v").agg(
+        F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("parts")
+    )
+    largest = largest.where("parts > 1").select(
+        "v", F.col("top.component").alias("top"),
+        F.ceil((F.col("m") - F.col("top.m")) / block).alias("others"), F.ceil(F.col("m") / block).alias("blocks"),
+    )
+    members = at.join(largest, "v").join(reps.select("rep", "n", "sketch"), "rep")
+    number = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["v", "i", "j", "outside", "rep", "component", "n", "sketch"]
+    outside = members.where("component <> top").select("*", F.lit(True).alias("outside"), number("others").alias("i"), every("blocks").alias("j"))
+    inside = members.select("*", F.lit(False).alias("outside"), every("others").alias("i"), number("blocks").alias("j"))
+    both = outside.select(columns).unionByName(inside.select(columns))
+    return both.groupBy("v", "i", "j").applyInPandas(_rest(k, TILE), "a long, b long")
+
+
 def document_components(docs: DataFrame, percent: int = 80, k: int = K, size: int = 2) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     if percent < 80:
         raise ValueError("the sketch bounds hold for a resemblance of 0.8 or more")
     s = cut(sketches(docs, k, size))
     named = s.where("n > 0 AND doc_id IS NOT NULL")
-    same = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    of = cut(named.select("doc_id", "s1", "s2", "n").join(same, ["s1", "s2"]).select("doc_id", "n", "rep"))
+    total = named.count()
+    same = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+    same = cut(same.withColumn("rep", F.monotonically_increasing_id()))
+    of = join_groups(named, same, ["s1", "s2"], "rows", total)
     reps = cut(
-        named.join(same, ["s1", "s2"]).where("doc_id = rep").select("rep", "n", "sketch").dropDuplicates(["rep"])
+        of.where("doc_id = first_id").select("rep", "doc_id", "text_hash", "n", "sketch", "rows").dropDuplicates(["rep"])
     )
+    of = cut(of.select("doc_id", "n", "rep", "first_id"))
     values = reps.select("rep", "n", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     held = values.join(shared, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
@@ -249,26 +332,21 @@ def document_components(docs: DataFrame, percent: int = 80, k: int = K, size: in
     pairs = short.join(other, "v").where("rep < b AND component <> b_component")
     pairs = pairs.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("n"), F.min(F.least("meet", "b_meet")).alias("meet"))
     pairs = pairs.where("n >= meet").select("a", "b")
-    members = at.where(F.col("m") > SHORT).select("v", "rep", "component", F.ceil(F.col("m") / BLOCK).alias("blocks")).join(reps, "rep")
-    others = members.select(
-        "*", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    )
-    columns = ["rep", "n", "component", "sketch"]
-    left = others.select("v", F.col("block").alias("i"), F.col("other").alias("j"), *columns)
-    right = others.select(
-        F.col("v").alias("rv"), F.col("other").alias("ri"), F.col("block").alias("rj"), *[F.col(c).alias(f"r_{c}") for c in columns]
-    )
-    rest = left.groupBy("v", "i", "j").cogroup(right.groupBy("rv", "ri", "rj")).applyInPandas(_rest(k, BLOCK), "a long, b long")
+    rest = long_list_pairs(at.where(F.col("m") > SHORT), reps, k, BLOCK)
     rest = cut(_tidy(rest.unionByName(pairs)))
     release(docs.sparkSession)
     more = cut(confirmed(rest, reps, docs, percent, k, size))
     if not more.isEmpty():
         joined = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(joined.unionByName(more))
+    first = found.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node")
+    first = cut(first.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("nodes")))
+    named_parts = join_groups(found, first, ["component"], "nodes", max(1, reps.count()))
+    named_parts = named_parts.select(F.col("node").alias("rep"), "component_id").join(reps.select("rep", "rows"), "rep")
     ids = s.select("doc_id", "n").withColumn("linked", (F.col("n") > 0) & F.col("doc_id").isNotNull())
     lone = ids.where("NOT linked").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    linked = of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", "n", F.coalesce("component", "rep").alias("component_id")
+    linked = join_groups(of, cut(named_parts), ["rep"], "rows", total).select(
+        "doc_id", "n", F.coalesce("component_id", "first_id").alias("component_id")
     )
     rows = linked.unionByName(lone)
     return rows.select(

@@ -2,6 +2,8 @@ import random
 import re
 import string
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from phasegrid.llm import near_dedup as op
@@ -53,6 +55,8 @@ def test_odd_rows_and_empty_table(make, odd):
 def test_chains_families_and_short_texts(make, monkeypatch):
     monkeypatch.setattr(op, "SHORT", 6)
     monkeypatch.setattr(op, "BLOCK", 5)
+    monkeypatch.setattr(op, "TILE", 2)
+    monkeypatch.setattr(op, "CHUNK", 3)
     r = random.Random(5)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(r.choice(words[:4]) for _ in range(r.randint(1, 6))), "s") for i in range(60)]
@@ -79,3 +83,34 @@ def test_components_of_long_paths(spark):
     r.shuffle(edges)
     found = {x.node: x.component for x in op.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_rows_that_repeat_an_id_are_one_node_with_all_links(make):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a, "s"), (5, b, "s"), (7, a + " x", "s"), (9, b + " y", "s"), (11, "other words here", "s"), (7, a + " x", "s")]
+    found = {r.doc_id: r.component_id for r in op.document_components(make(rows)).collect()}
+    assert found == {5: 5, 7: 5, 9: 5, 11: 11}
+
+
+def test_hot_copies_meet_their_group(make):
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(words) if i % 3 == 0 else " ".join(words[: 3 + i % 40]) + f" u{i} v{i}", "s") for i in range(600)]
+    assert got(op.document_components(make(rows))) == brute(rows)
+
+
+def test_block_comparison_equals_pair_by_pair():
+    r = random.Random(4)
+    rows = []
+    for rep in range(70):
+        base = set(range(40)) if rep % 2 else set(range(30, 75))
+        s = sorted({v for v in base if r.random() < 0.9} | {r.randint(100, 400) for _ in range(r.randint(0, 30))})[: op.K]
+        rows.append((bool(rep % 4 == 0), rep, rep % 5, len(s) * r.choice([1, 1, 3]), np.array(s)))
+    frame = pd.DataFrame(rows, columns=["outside", "rep", "component", "n", "sketch"])
+    want = set()
+    for o, x, cx, nx, sx in rows:
+        for p, y, cy, ny, sy in rows:
+            both, union = len(set(sx) & set(sy)), len(set(sx) | set(sy))
+            if o and not p and cx != cy and min(nx, ny) * 5 >= max(nx, ny) * 4 and 2 * both >= min(union, op.K):
+                want.add((min(x, y), max(x, y)))
+    for tile in (1, 7, 256):
+        assert set(op._rest(op.K, tile)(frame).itertuples(index=False, name=None)) == want
