@@ -2,6 +2,14 @@
 
 Each stage takes the documents that the one before kept. ``run`` applies them in turn; the check tool and the driver may
 also write each stage's result and hand it to the next.
+
+Near copies are documents whose sets of five-word shingles have a resemblance of 0.8 or more; copies with more changes than
+that are different documents here (``op9`` takes two-word shingles, by its contract).
+
+Defined cases: documents without words go in the first stage; rows that repeat an id with other texts are told apart by
+their text, except that all rows of the id that a group of near copies keeps stay; of rows that repeat id and text the
+exact stage leaves one; null ids pass all stages; very long texts are processed whole; ties are settled as the operators
+say; an empty table gives an empty result; further columns stay until the last stage, whatever their names.
 """
 
 from __future__ import annotations
