@@ -42,7 +42,7 @@ K = 64
 NEEDED = 32
 MEET = 3
 SHORT = 64
-BLOCK = 8192
+BLOCK = 2048
 TILE = 256
 CHUNK = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
