@@ -9,7 +9,8 @@ explains it or a base span overlaps it. Placeholder words (``your``, ``test``) c
 of the keyboard add no entropy. Map-only, one document at a time.
 
 Defined cases: a null text counts as empty and has no spans; the digest of no spans is that of the empty string; null ids
-and repeated rows are rows like any other; an empty table gives an empty result; further columns are ignored.
+and repeated rows are rows like any other; of added spans that overlap the first stays, then the longest; very long texts
+and runs are read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

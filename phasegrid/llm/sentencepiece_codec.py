@@ -10,15 +10,21 @@ What decides an edge is whether the model's merges would leave a boundary betwee
 before it: undoing merges from both sides, later ones first, must meet no merge across the boundary that would have come
 earlier. Exactly one edge into each position passes, so relaxation is exact and gives the library's ids.
 
-Work is map-only; what a worker remembers of parts is bounded by ``CACHE_PARTS``, an index by ``INDEX_CHARS``.
+Work is map-only; what a worker remembers of parts is bounded by ``CACHE_PARTS``, an index by ``INDEX_CHARS``. So most
+texts of a warm worker are put together from parts that an earlier batch's suffix array has matched.
+
+The model file is read by every worker: its path is a parameter, by default the session's setting ``MODEL_SETTING``, and
+``MODEL`` where that is not set.
 
 Defined cases: null or empty text has no tokens; characters outside the vocabulary become byte tokens; U+2581 is read as
-a space, as in the library, so only texts without it decode to themselves; null ids and repeated rows are rows like any
-other; an empty table gives an empty result; further columns are ignored.
+a space, as in the library, so only texts without it decode to themselves; very long texts are encoded whole, part by
+part (one part if they hold no space); a worker without the model file raises; null ids and repeated rows are rows like
+any other; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -28,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL_SETTING = "spark.phasegrid.sentencepiece.model"
 CACHE_PARTS = 600_000
 INDEX_CHARS = 600_000
 _PART = re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -73,6 +80,8 @@ class Codec:
     def __init__(self, model: str = MODEL):
         import sentencepiece
 
+        if not os.path.isfile(model):
+            raise FileNotFoundError(f"no SentencePiece model at {model} on this worker; set {MODEL_SETTING}")
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -323,11 +332,16 @@ def codec(model: str = MODEL) -> Codec:
     return _CODECS[model]
 
 
-def encoded(docs: DataFrame, model: str = MODEL, rows: int = 1000) -> DataFrame:
+def _model_of(df: DataFrame, model: str | None) -> str:
+    return model or df.sparkSession.conf.get(MODEL_SETTING, MODEL)
+
+
+def encoded(docs: DataFrame, model: str | None = None, rows: int = 1000) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, round_trip, ids``; ``round_trip`` says that the ids decode to the text.
 
     Parts are indexed ``rows`` texts at a time.
     """
+    model = _model_of(docs, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +363,9 @@ def encoded(docs: DataFrame, model: str = MODEL, rows: int = 1000) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, round_trip boolean, ids array<int>")
 
 
-def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
+def decoded(tokens: DataFrame, model: str | None = None) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``."""
+    model = _model_of(tokens, model)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

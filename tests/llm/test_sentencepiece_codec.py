@@ -66,3 +66,12 @@ def test_table(make, odd, rows):
     back = op.decoded(found).collect()
     assert all(r.text == text[r.doc_id].replace("▁", " ") for r in back) and len(back) == docs.count()
     assert op.encoded(make([])).collect() == []
+
+
+def test_a_missing_model_is_named(spark, make):
+    spark.conf.set(op.MODEL_SETTING, "/nowhere/x.model")
+    try:
+        with pytest.raises(Exception, match="no SentencePiece model at /nowhere/x.model"):
+            op.encoded(make([(1, "a", "s")])).collect()
+    finally:
+        spark.conf.unset(op.MODEL_SETTING)
