@@ -42,9 +42,9 @@ K = 64
 NEEDED = 32
 MEET = 3
 SHORT = 64
-BLOCK = 2048
+BLOCK = 8192
 TILE = 256
-CHUNK = 256
+CHUNK = 32
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CACHE_WORDS = 400_000
 
