@@ -24,6 +24,7 @@ class Table:
     codes: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.int64))  # n x q, from 0
     levels: int = 0
     univariate: bool = False  # one numeric column under the one-dimensional rules
+    family: str = ""  # a registered family's name; empty: by the columns
 
     @property
     def n(self) -> int:
@@ -83,6 +84,34 @@ def parameters(t: Table, labels: np.ndarray, c_bound: float, c_qual: float = mat
     return Params(mass / w.sum(), mean, cov, raw, prob, bound, floored)
 
 
+def soft_parameters(t: Table, phi: np.ndarray, c_bound: float, c_qual: float = math.inf, w: np.ndarray | None = None) -> Params:
+    """The parameter step from an assignment of weights, n x r; rows count by their sum."""
+    phi = phi / np.maximum(phi.sum(1, keepdims=True), 1e-300)
+    phi = phi if w is None else phi * w[:, None]
+    phi = phi[:, phi.sum(0) > 0]
+    mass = phi.sum(0)
+    r, p, q = len(mass), t.x.shape[1] if t.x.size else 0, t.codes.shape[1] if t.codes.size else 0
+    mean, cov, raw = np.zeros((r, p)), np.zeros((r, p, p)), np.zeros(r)
+    bound, floored, prob = np.zeros(r, bool), np.zeros(r, bool), np.zeros((r, q, t.levels))
+    least = linalg.least_sd(c_bound)
+    if p:
+        mean = phi.T @ t.x / mass[:, None]
+    for k in range(r):
+        if p:
+            d = t.x - mean[k]
+            cov[k] = (phi[:, k, None] * d).T @ d / mass[k]
+            if t.univariate:
+                raw[k] = cov[k, 0, 0]
+                bound[k], cov[k, 0, 0] = math.sqrt(raw[k]) < least, max(raw[k], least * least)
+            else:
+                cov[k], bound[k] = linalg.bounded_covariance(cov[k], mass[k], c_bound)
+        for j in range(q):
+            counts = np.bincount(t.codes[:, j], phi[:, k], t.levels)
+            prob[k, j], low = linalg.floored_probabilities(counts, 0.0 if math.isinf(c_qual) else 1.0 / c_qual)
+            floored[k] |= low
+    return Params(mass / mass.sum(), mean, cov, raw, prob, bound, floored)
+
+
 def log_densities(t: Table, params: Params) -> np.ndarray:
     """n x r log densities; minus infinity where a level has probability 0."""
     n = t.n
@@ -112,11 +141,11 @@ def assign(dens: np.ndarray, nu: np.ndarray, lam: float) -> np.ndarray:
         return np.argmax(dens / lam + np.log(nu), axis=1)
 
 
-def coefficients(t: Table, labels: np.ndarray, params: Params, w: np.ndarray | None = None) -> tuple[float, float]:
+def coefficients(t: Table, labels: np.ndarray, params: Params, w: np.ndarray | None = None, densities=None) -> tuple[float, float]:
     """(A, B) with objective A + B / lambda: class entropy and mean negative log density under the own cluster."""
     w = np.ones(t.n) if w is None else w
     nu = params.nu[params.nu > 0]
-    dens = log_densities(t, params)[np.arange(t.n), labels]
+    dens = (densities or log_densities)(t, params)[np.arange(t.n), labels]
     use = w > 0
     return float(-(nu * np.log(nu)).sum()), float(-(w[use] * dens[use]).sum() / w.sum())
 
@@ -144,16 +173,28 @@ class Fit:
 
 
 def descend(
-    t: Table, start: np.ndarray, lam: float, c_bound: float, c_qual: float = math.inf, loops: int = 300, w: np.ndarray | None = None
+    t: Table, start: np.ndarray, lam: float, c_bound: float, c_qual: float = math.inf, loops: int = 300, w: np.ndarray | None = None, steps=None
 ) -> Fit:
-    """Alternate parameters and assignment from a labelling until one cluster is left, a labelling returns, or ``loops``."""
+    """Alternate parameters and assignment until one cluster is left, a labelling returns, or ``loops``.
+
+    ``start`` is a labelling, or an assignment of weights (n x r) whose parameters give the first labelling. ``steps`` are
+    a family's parameter step and log densities; by default those of the table's columns.
+    """
+    if steps is None and t.family:
+        from phasegrid.functions import families
+
+        steps = (families.family(t.family).parameters, families.family(t.family).log_densities)
+    parameters_of, densities = steps or (parameters, log_densities)
+    if start.ndim == 2:
+        first = soft_parameters(t, start, c_bound, c_qual, w)
+        start = assign(log_densities(t, first), first.nu, lam)
     labels = compress(start)
     seen = {labels.tobytes()}
     for _ in range(loops):
-        params = parameters(t, labels, c_bound, c_qual, w)
+        params = parameters_of(t, labels, c_bound, c_qual, w)
         if params.r == 1:
             break
-        labels = compress(assign(log_densities(t, params), params.nu, lam))
+        labels = compress(assign(densities(t, params), params.nu, lam))
         if w is not None and not (w[labels == 0] > 0).any():
             labels = _by_mass(labels, w)
         key = labels.tobytes()
@@ -162,8 +203,8 @@ def descend(
         seen.add(key)
     if w is not None:
         labels = _by_mass(labels, w)
-    params = parameters(t, labels, c_bound, c_qual, w)
-    a, b = coefficients(t, labels, params, w)
+    params = parameters_of(t, labels, c_bound, c_qual, w)
+    a, b = coefficients(t, labels, params, w, densities)
     return Fit(labels, params, a, b, lam)
 
 
@@ -209,10 +250,10 @@ def regrouped(
     return fit
 
 
-def by_focus(t: Table, focus: np.ndarray, fit_level) -> Fit:
+def by_focus(t: Table, focus: np.ndarray, fit_level, c_qual: float = math.inf) -> Fit:
     """Separate fits of the levels of one category, put together: labels numbered on, parameters and H of the whole.
 
-    ``fit_level`` fits the rows of one level.
+    ``fit_level`` fits the rows of one level; ``c_qual`` is the floor of the whole's level probabilities.
     """
     labels, at, lam, c_bound = np.zeros(t.n, np.int64), 0, 1.0, math.inf
     for level in np.unique(focus):
@@ -221,11 +262,27 @@ def by_focus(t: Table, focus: np.ndarray, fit_level) -> Fit:
         fit, lam, c_bound = fit_level(part)
         labels[rows] = fit.labels + at
         at += fit.reo
-    params = parameters(t, labels, c_bound)
+    params = parameters(t, labels, c_bound, c_qual)
     a, b = coefficients(t, labels, params)
     return Fit(labels, params, a, b, lam)
 
 
+def expanded(labels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A labelling as weights: each row's own cluster and a new one, by random numbers."""
+    phi = np.zeros((len(labels), labels.max() + 2))
+    phi[np.arange(len(labels)), labels] = rng.random(len(labels))
+    phi[:, -1] = rng.random(len(labels))
+    return phi
+
+
+def perturbed(fit: Fit, rng: np.random.Generator) -> np.ndarray:
+    """A fit's clusters of ten rows or more (else the largest), with a tenth of a random number added everywhere."""
+    n = len(fit.labels)
+    keep = np.flatnonzero(fit.params.nu * n >= 10)
+    keep = keep if len(keep) else np.array([fit.params.nu.argmax()])
+    return (fit.labels[:, None] == keep[None, :]) + 0.1 * rng.random((n, len(keep)))
+
+
 def multistart(
     t: Table,
     lam: float,
@@ -241,23 +298,26 @@ def multistart(
 ) -> Fit | None:
     """Best of several descents; the first of equals. ``warm`` seeds the first shot and perturbations of it.
 
-    Chained shots start from the last result's labels with some rows scattered to a new cluster (a quarter of the time),
-    from few random clusters (a quarter) or afresh; the last tenth perturbs the best. Independent shots are all fresh.
+    Chained shots start from the last result's clusters with a random new one (a quarter of the time), from one cluster or
+    few random ones (a quarter: one half the time, always if ``r0`` isn't given), or afresh; with more than 100 rows the
+    last floor(shots / 10) + 1 perturb the best. Independent shots are all fresh.
     """
+    given = r0 is not None
     r0 = r0 or default_clusters(t.n)
     best: Fit | None = None
     previous = warm
-    tail = shots - max(1, shots // 10) if t.n > 100 else shots
+    tail = shots - shots // 10 - 1 if t.n > 100 else shots
     for shot in range(shots):
         u = rng.random()
         if shot == 0:
             start = warm if warm is not None else rng.integers(0, r0, t.n)
         elif chained and shot >= tail and best is not None:
-            start = np.where(rng.random(t.n) < 0.1, rng.integers(0, best.reo, t.n), best.labels)
+            start = perturbed(best, rng)
         elif chained and u < 0.25 and previous is not None:
-            start = np.where(rng.random(t.n) < 1.0 / (previous.max() + 2), previous.max() + 1, previous)
-        elif chained and u < 0.5:
-            start = rng.integers(0, int(rng.integers(1, r0 + 1)), t.n)
+            start = expanded(previous, rng)
+        elif chained and 0.25 <= u < 0.5:
+            few = int(rng.integers(1, r0 + 1)) if given and rng.random() < 0.5 else 1
+            start = rng.integers(0, few, t.n)
         else:
             start = rng.integers(0, r0, t.n)
         try:

@@ -137,3 +137,33 @@ def bands(df: DataFrame, x: str, label: str, buckets: int = 64) -> DataFrame:
     low = F.coalesce((F.col("x0") + F.lag("x1").over(o)) / 2, F.col("x0"))
     high = F.coalesce((F.col("x1") + F.lead("x0").over(o)) / 2, F.col("x1"))
     return runs.select("band_label", low.alias("low"), high.alias("high"), "n")
+
+
+def zone_borders(zones: DataFrame, grid: DataFrame) -> DataFrame:
+    """The edges of cells (c, lambda, zone) that part zones: ``zone, side, c0, lambda0, c1, lambda1``.
+
+    A cell's edges lie midway to the neighbouring bounds and weights of the grid; one is a border unless the cell beyond
+    it is of the same zone.
+    """
+    from phasegrid.operators import diagnose
+
+    edges = lambda v, x: diagnose.intervals(grid.select(v).distinct(), v).select(
+        F.col(v), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"), F.row_number().over(Window.orderBy(v)).alias(f"{x}_i")
+    )  # a row a bound or weight
+    cells = zones.join(F.broadcast(edges("c", "c")), "c").join(F.broadcast(edges("lambda", "l")), "lambda")
+    marked = cells
+    sides = {"left": ("c", -1, "l"), "right": ("c", 1, "l"), "lower": ("l", -1, "c"), "upper": ("l", 1, "c")}
+    for side, (along, step, other) in sides.items():
+        w = Window.partitionBy(f"{other}_i").orderBy(f"{along}_i")
+        beyond = lambda c: F.lag(c).over(w) if step < 0 else F.lead(c).over(w)  # noqa: B023, E731
+        same = (beyond(f"{along}_i") == F.col(f"{along}_i") + step) & (beyond("zone") == F.col("zone"))
+        marked = marked.withColumn(side, ~F.coalesce(same, F.lit(False)))
+    corner = {
+        "left": ("c_low", "l_low", "c_low", "l_high"), "right": ("c_high", "l_low", "c_high", "l_high"),
+        "lower": ("c_low", "l_low", "c_high", "l_low"), "upper": ("c_low", "l_high", "c_high", "l_high"),
+    }
+    each = [
+        F.struct(F.lit(k).alias("side"), F.col(k).alias("border"), *[F.col(x).alias(n) for x, n in zip(v, ("c0", "lambda0", "c1", "lambda1"))])
+        for k, v in corner.items()
+    ]
+    return marked.select("zone", F.explode(F.array(*each)).alias("e")).where("e.border").select("zone", "e.side", "e.c0", "e.lambda0", "e.c1", "e.lambda1")

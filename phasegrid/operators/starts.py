@@ -117,3 +117,8 @@ def em(df: DataFrame, start: Mixture, xs: list[str], codes: list[str] = (), leve
         if done:
             break
     return m
+
+
+def index_table(df: DataFrame, id_col: str, clusters: int) -> DataFrame:
+    """Every (row, cluster) of an assignment, clusters from 1."""
+    return df.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.lit(1), F.lit(clusters))).alias("k"))

@@ -140,6 +140,75 @@ def change_points(path: DataFrame, similarity: str = "similarity", at_least: flo
     )
 
 
+CRITERIA = {
+    "reo_or_similarity": lambda r, s: r or s,
+    "reo": lambda r, s: r,
+    "similarity": lambda r, s: s,
+    "reo_and_similarity": lambda r, s: r and s,
+}
+
+
+def changes_fold(pdf: pd.DataFrame, similar: dict, at_least: float, criterion: str, method: str, include_first: bool) -> pd.DataFrame:
+    """Changes along lambda of one group's rows (lambda, run, reo); ``similar`` by pairs of runs, 1 for a run and itself."""
+    pdf = pdf.sort_values("lambda", kind="stable").reset_index(drop=True)
+    lam, run, reo = (list(pdf[c]) for c in ("lambda", "run", "reo"))
+    like = lambda a, b: 1.0 if a == b else similar.get((a, b), similar.get((b, a)))
+    decide, ref, regime, rows = CRITERIA[criterion], 0, 1, []
+    for i in range(len(pdf)):
+        if not i:
+            rows.append((lam[0], run[0], int(reo[0]), None, lam[0], None, False, False, include_first, 1))
+            continue
+        at = i - 1 if method == "consecutive" else ref
+        before, s = like(run[i - 1], run[i]), like(run[at], run[i])
+        by_reo, by_similarity = reo[i] != reo[at], s is not None and s < at_least
+        change = decide(by_reo, by_similarity)
+        regime += change
+        rows.append((lam[i], run[i], int(reo[i]), before, lam[at], s, bool(by_reo), bool(by_similarity), bool(change), regime))
+        ref = i if change else ref
+    return pd.DataFrame(rows, columns=["lambda", "run", "reo", "sim_prev", "ref_lambda", "sim_ref", "reo_change", "similarity_change", "change", "regime"])
+
+
+def detect_changes(
+    path: DataFrame,
+    similarities: dict,
+    at_least: float = 0.8,
+    criterion: str = "reo_or_similarity",
+    method: str = "regime",
+    lambdas: Sequence[float] | None = None,
+    include_first: bool = True,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """One row a weight: its number of clusters and its partition held against the weight before (``consecutive``) or the
+    first of its regime (``regime``), and whether they differ by one of four criteria.
+
+    ``path``: ``by..., lambda, run, reo`` and, if known, ``n`` rows of each partition; partitions of another length than
+    most (the longer of equals) are left out. ``lambdas`` restricts the weights. ``similarities``: by pairs of runs.
+    """
+    if criterion not in CRITERIA or method not in ("consecutive", "regime"):
+        raise ValueError(f"unknown criterion {criterion} or method {method}")
+    if lambdas is not None:
+        path = path.where(F.col("lambda").isin([float(v) for v in lambdas]))
+    if "n" in path.columns:
+        most = path.groupBy(*by, "n").agg(F.count("*").alias("_rows")).groupBy(*by).agg(F.max(F.struct("_rows", "n"))["n"].alias("_n"))
+        path = (path.join(F.broadcast(most), list(by)) if by else path.crossJoin(F.broadcast(most))).where("n = _n")  # one row a group
+    keys = [f for f in path.schema if f.name in by]
+    names = [*(f.name for f in keys), "lambda", "run", "reo"]
+    fields = ", ".join(
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in keys]
+        + [f"lambda double, run {path.schema['run'].dataType.simpleString()}, reo int, sim_prev double, ref_lambda double, sim_ref double"]
+        + ["reo_change boolean, similarity_change boolean, change boolean, regime int"]
+    )
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = changes_fold(pdf, similarities, at_least, criterion, method, include_first)
+        for k, f in enumerate(keys):
+            out.insert(k, f.name, pdf[f.name].iloc[0])
+        return out
+
+    rows = path.select(*names)
+    return (rows.groupBy(*by) if by else rows.groupBy(F.lit("all"))).applyInPandas(fold, fields)
+
+
 def regime_fold(pdf: pd.DataFrame, similar: dict, at_least: float) -> pd.DataFrame:
     pdf = pdf.sort_values("lambda", kind="stable").reset_index(drop=True)
     regime, ref, out, flags = 0, None, [], []

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.functions import kernels, linalg
 from phasegrid.functions.kernels import Table
+from phasegrid.plans import checkpoints
 
 #: Most bytes of observations that may be broadcast to tasks.
 BROADCAST_LIMIT = 256 << 20
@@ -42,7 +43,7 @@ class Settings:
     loops: int = 300
     seed: int = 1
     metric: str = "match"
-    stability: str = "reference"  # or "pairwise"
+    stability: str = "pairwise"  # or "reference"
     extra: dict = field(default_factory=dict)
 
 
@@ -142,19 +143,24 @@ def lambda_summary(fits: DataFrame, s: Settings) -> DataFrame:
 
 
 def checkpointed(spark: SparkSession, t: Table, s: Settings, path: str) -> DataFrame:
-    """Results of all tasks, kept in a folder: a second call runs only the tasks without results there."""
+    """Results of all tasks, kept in a folder: a second call runs only the tasks without results there.
+
+    The folder names the data and settings it is for (``checkpoints``); others raise instead of taking its results.
+    """
+    checkpoints.prepare(spark, path, checkpoints.task_meta(t, s))
     every = tasks(spark, s)
     try:
-        done = spark.read.schema(FITS).parquet(path)
+        done = spark.read.schema(FITS).parquet(f"{path}/fits")
         done.limit(1).count()
     except Exception as e:  # nothing written yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = spark.createDataFrame([], FITS)
+    checkpoints.validate_lengths(done, t.n)
     todo = pending(every, done)
     if not todo.isEmpty():
-        fit_paths(spark, t, s, todo).write.mode("append").parquet(path)
-    return spark.read.schema(FITS).parquet(path)
+        fit_paths(spark, t, s, todo).write.mode("append").parquet(f"{path}/fits")
+    return spark.read.schema(FITS).parquet(f"{path}/fits")
 
 
 def candidates(fits: DataFrame) -> DataFrame:

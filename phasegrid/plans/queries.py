@@ -534,9 +534,26 @@ C_EVAL = """SELECT CAST(1 + user_id % 6 AS DOUBLE) / 2 AS c, CAST(1 + event_id %
 FROM {events} GROUP BY user_id % 6, event_id % 5, event_id % 6"""
 
 
-@query("c_repair")
+def _c_sweep(source: str, name: str, step: int) -> str:
+    """One sweep along the bounds at each weight, from the first row or the last: ``i, lambda, c, run``."""
+    edge = "min" if step > 0 else "max"
+    better = "x.a + x.b / o.lambda < y.a + y.b / o.lambda - 1e-10"
+    return f"""{name} AS (
+      SELECT i, lambda, c, run FROM {source} WHERE i = (SELECT {edge}(i) FROM {source}) UNION ALL
+      SELECT o.i, o.lambda, o.c, CASE WHEN {better} THEN r.run ELSE o.run END
+      FROM {name} r JOIN {source} o ON o.lambda = r.lambda AND o.i = r.i + {step}
+      LEFT JOIN e x ON x.lambda = o.lambda AND x.c = o.c AND x.run = r.run JOIN e y ON y.lambda = o.lambda AND y.c = o.c AND y.run = o.run)"""
+
+
+@query(
+    "c_repair",
+    f"""WITH RECURSIVE b AS ({duck(C_BEST)}), e AS ({duck(C_EVAL)}), o AS (SELECT *, dense_rank() OVER (ORDER BY c) AS i FROM b),
+    {_c_sweep("o", "up", 1)}, {_c_sweep("up", "down", -1)}
+    SELECT d.c, d.lambda, d.run, round(e.a + e.b / d.lambda, 6) AS h, d.run <> b.run AS repaired
+    FROM down d JOIN b ON b.c = d.c AND b.lambda = d.lambda JOIN e ON e.c = d.c AND e.lambda = d.lambda AND e.run = d.run""",
+)
 def c_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs copied along the bounds where they score better; tested against a plain loop."""
+    """Runs copied along the bounds, up and down, where they score better."""
     return rounded(trajectory.repair_c(derived(spark, sf_dir, C_BEST), derived(spark, sf_dir, C_EVAL)))
 
 
@@ -566,9 +583,102 @@ def regime_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("zones")
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones of kept cells with equal numbers of clusters; tested against a plain flood fill."""
-    grid = diagnose.apply_thresholds(derived(spark, sf_dir, CELLS), 0.7, 0.75, 0.1).withColumn("run", F.col("reo"))
-    return cells.zone_table(grid, {})
+    """Zones of kept cells with as many clusters and like partitions; tested against a plain flood fill."""
+    grid = diagnose.apply_thresholds(derived(spark, sf_dir, CELLS), 0.7, 0.75, 0.1)
+    grid = grid.withColumn("run", (F.round(F.col("c") * 2) * 100 + F.round(F.col("lambda") * 10)).cast("int"))
+    runs = [100 * c + v for c in range(1, 7) for v in range(1, 13)]
+    return cells.zone_table(grid, {(a, b): 0.9 if (a + b) % 3 == 0 else 0.97 for a in runs for b in runs})
+
+
+_ZONED = f"SELECT c, lambda, CAST(reo AS INT) AS zone FROM ({duck(CELLS)})"
+_EDGES = "SELECT {v}, row_number() OVER w AS {x}_i, coalesce(({v} + lag({v}) OVER w) / 2, {v} - (lead({v}) OVER w - {v}) / 2) AS {x}_low, coalesce(({v} + lead({v}) OVER w) / 2, {v} + ({v} - lag({v}) OVER w) / 2) AS {x}_high FROM (SELECT DISTINCT {v} FROM z) WINDOW w AS (ORDER BY {v})"
+
+
+@query(
+    "zone_borders",
+    f"""WITH z AS ({_ZONED}), ce AS ({_EDGES.format(v="c", x="c")}), le AS ({_EDGES.format(v="lambda", x="l")}), m AS (SELECT z.zone, ce.* EXCLUDE (c), le.* EXCLUDE (lambda) FROM z JOIN ce ON ce.c = z.c JOIN le ON le.lambda = z.lambda),
+    s AS (SELECT m.*, lf.zone AS zl, rt.zone AS zr, lo.zone AS zd, up.zone AS zu FROM m LEFT JOIN m lf ON lf.l_i = m.l_i AND lf.c_i = m.c_i - 1 LEFT JOIN m rt ON rt.l_i = m.l_i AND rt.c_i = m.c_i + 1
+      LEFT JOIN m lo ON lo.c_i = m.c_i AND lo.l_i = m.l_i - 1 LEFT JOIN m up ON up.c_i = m.c_i AND up.l_i = m.l_i + 1),
+    b AS (SELECT zone, 'left' AS side, c_low AS c0, l_low AS lambda0, c_low AS c1, l_high AS lambda1 FROM s WHERE zl IS DISTINCT FROM zone UNION ALL SELECT zone, 'right', c_high, l_low, c_high, l_high FROM s WHERE zr IS DISTINCT FROM zone
+      UNION ALL SELECT zone, 'lower', c_low, l_low, c_high, l_low FROM s WHERE zd IS DISTINCT FROM zone UNION ALL SELECT zone, 'upper', c_low, l_high, c_high, l_high FROM s WHERE zu IS DISTINCT FROM zone)
+    SELECT zone, side, round(c0, 6) AS c0, round(lambda0, 6) AS lambda0, round(c1, 6) AS c1, round(lambda1, 6) AS lambda1 FROM b""",
+)
+def zone_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between cells with different numbers of clusters."""
+    z = derived(spark, sf_dir, CELLS).select("c", "lambda", F.col("reo").alias("zone"))
+    return rounded(cells.zone_borders(z, z))
+
+
+@query(
+    "change_detection",
+    f"""WITH RECURSIVE l AS ({_LINE_D}), o AS (SELECT lambda, run, reo, row_number() OVER (ORDER BY lambda) AS i FROM l WHERE run < 25),
+    r AS (SELECT i, lambda, run, reo, run AS ref, reo AS ref_reo, lambda AS ref_lambda, false AS reo_change, false AS similarity_change, true AS change, 1 AS regime FROM o WHERE i = 1 UNION ALL
+      SELECT n.i, n.lambda, n.run, n.reo, CASE WHEN x AND y THEN n.run ELSE ref END, CASE WHEN x AND y THEN n.reo ELSE ref_reo END, CASE WHEN x AND y THEN n.lambda ELSE ref_lambda END, x, y, x AND y, regime + CASE WHEN x AND y THEN 1 ELSE 0 END
+      FROM (SELECT r.*, r.ref_reo <> n.reo AS x, abs(r.ref - n.run) > 3 AS y FROM r JOIN o n ON n.i = r.i + 1) r JOIN o n ON n.i = r.i + 1)
+    SELECT lambda, CAST(run AS INT) AS run, reo, reo_change, similarity_change, change, CAST(regime AS INT) AS regime FROM r""",
+)
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regimes that end when both the number of clusters and the partition differ from the regime's first, on chosen weights."""
+    alike = {(a, b): float(abs(a - b) <= 3) for a in range(30) for b in range(30)}
+    chosen = [float(1 + k) / 10 for k in range(25)]
+    found = trajectory.detect_changes(derived(spark, sf_dir, LINE), alike, 0.8, "reo_and_similarity", "regime", chosen)
+    return found.select("lambda", "run", "reo", "reo_change", "similarity_change", "change", "regime")
+
+
+@query(
+    "lambda_labels",
+    f"""WITH l AS ({_LINE_D}) SELECT lambda, regexp_replace(CAST(lambda AS VARCHAR), '\\.0$', '') AS key, 'lamb' || 'da = ' || regexp_replace(CAST(lambda AS VARCHAR), '\\.0$', '') AS label FROM l""",
+)
+def lambda_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and titles of weights."""
+    v = F.col("lambda")
+    return derived(spark, sf_dir, LINE).select("lambda", display.lambda_key(v).alias("key"), display.lambda_label(v).alias("label"))
+
+
+@query(
+    "partition_histograms",
+    """WITH r AS (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) / 12 AS w FROM lineitem),
+    l AS (SELECT 0.1 AS lam, CAST(floor(l_quantity / 17) AS INT) AS k, l_quantity AS x FROM lineitem UNION ALL SELECT 0.3, CAST(floor(l_quantity / 13) AS INT), l_quantity FROM lineitem),
+    b AS (SELECT lam, k, CAST(least(floor((x - lo) / w) + 1, 12) AS INT) AS bin, count(*) AS n FROM l, r GROUP BY 1, 2, 3)
+    SELECT CAST(lam AS DOUBLE) AS lambda, k AS cluster, bin, n, round(lo + (bin - 1) * w, 6) AS low, round(lo + bin * w, 6) AS high FROM b, r""",
+)
+def partition_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms by cluster of two of three weights' partitions of all line items."""
+    q = F.col("l_quantity")
+    cut = lambda w: F.floor(q / w).cast("int")
+    df = table(spark, sf_dir, "lineitem").select(q.alias("q"), cut(17).alias("a"), cut(15).alias("b"), cut(13).alias("c"))
+    return rounded(display.partition_histograms(df, "q", {0.1: "a", 0.2: "b", 0.3: "c"}, 12, at_most=2))
+
+
+_DENSITY = "(-0.5 * (ln(2 * pi()) + ln(p.v) + (l.value - p.m) * (l.value - p.m) / p.v) + coalesce(ln(q.pr), CAST('-infinity' AS DOUBLE)))"
+
+
+def _mixed_step(i: int) -> str:
+    return f"""p{i} AS (SELECT run, k, count(*) AS n, avg(value) AS m, var_pop(value) AS v, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM events) AS nu FROM l{i} GROUP BY run, k),
+    q{i} AS (SELECT run, k, f, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY run, k) AS pr FROM l{i} GROUP BY run, k, f),
+    s{i} AS (SELECT l.run, l.event_id, l.value, l.f, p.k, {_DENSITY} AS d, row_number() OVER (PARTITION BY l.run, l.event_id ORDER BY {_DENSITY} / 0.6 + ln(p.nu) DESC, p.k) AS rn
+      FROM l{i} l JOIN p{i} p ON p.run = l.run LEFT JOIN q{i} q ON q.run = l.run AND q.k = p.k AND q.f = l.f),
+    l{i + 1} AS (SELECT run, event_id, value, f, k FROM s{i} WHERE rn = 1)"""
+
+
+@query(
+    "mixed_iter2",
+    f"""WITH l0 AS (SELECT 1 AS run, event_id, value, event_type AS f, (event_id * 7) % 3 + 1 AS k FROM events UNION ALL SELECT 2, event_id, value, event_type, (event_id * 5) % 4 + 1 FROM events),
+    {_mixed_step(0)}, {_mixed_step(1)}, {_mixed_step(2)},
+    h AS (SELECT p.run, any_value(a) - avg(d) / 0.6 AS h FROM (SELECT run, -sum(nu * ln(nu)) AS a FROM p2 GROUP BY run) p JOIN s2 ON s2.run = p.run AND s2.rn = 1 GROUP BY p.run)
+    SELECT CAST(p.run AS INT) AS run, CAST(row_number() OVER (PARTITION BY p.run ORDER BY k) AS INT) AS k, round(nu, 6) AS nu, round(m, 6) AS m, round(v, 3) AS v, round(h, 6) AS h, h = (SELECT min(h) FROM h) AS best FROM p2 p JOIN h ON h.run = p.run""",
+)
+def mixed_iter2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs in lock step, two iterations each from fixed labels, on a number and a category of all events; the better one."""
+    df, levels = features.encoded(table(spark, sf_dir, "events").select("event_id", "value", "event_type"), ["event_type"])
+    spec = Spec(["value"], ["event_type_code"], len(levels), "event_id")
+    start = lambda a, b: ((F.col("event_id") * a) % b + 1).cast("int")
+    runs = [Run("1", 0.6, 1e6, start(7, 3)), Run("2", 0.6, 1e6, start(5, 4))]
+    descent.objective(df, spec, descent.descend(df, spec, runs, loops=2))
+    least = min(r.h for r in runs)
+    scores = F.create_map(*[F.lit(x) for r in runs for x in (r.name, r.h)])[F.col("run")]
+    p = descent.params_table(spark, runs).select(F.col("run").cast("int").alias("run"), "k", "nu", r6(F.col("mean")[0]).alias("m"), F.round(F.col("cov")[0], 3).alias("v"), scores.alias("h"))
+    return p.select("run", "k", r6("nu").alias("nu"), "m", "v", r6("h").alias("h"), (F.col("h") == least).alias("best"))
 
 
 @query(
@@ -625,9 +735,8 @@ def uniform_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "mixture_density",
-    "SELECT event_id, round(("
-    + " + ".join(f"exp(-0.5 * (value / 10 - ({m!r})) * (value / 10 - ({m!r})))" for m in generators.MIXTURE_MEANS)
-    + ") / 7 / sqrt(2 * pi()), 9) AS density FROM events",
+    """WITH c AS (SELECT 2 * sqrt(3) * unnest([-3, -1.75, -0.75, 0, 0.75, 1.75, 3]) AS m, unnest([0.2, 1, 0.5, 1, 0.5, 1, 0.2]) AS s, unnest([0.5, 2, 0.5, 1, 0.5, 2, 0.5]) AS w)
+    SELECT event_id, round(sum(w / 7 / s / sqrt(2 * pi()) * exp(-0.5 * power((value / 10 - m) / s, 2))), 9) AS density FROM events, c GROUP BY event_id""",
 )
 def mixture_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True density of the seven-component mixture at all events' scaled values."""

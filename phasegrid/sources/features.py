@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasegrid.operators import display
@@ -83,3 +83,16 @@ def signature(df: DataFrame) -> str:
         F.count("*").alias("n"), F.expr("bit_xor(h)").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")
     ).first()
     return hashlib.sha256(f"{df.schema.json()}|{row['n']}|{row['x']}|{row['s']}".encode()).hexdigest()
+
+
+def bind_rows(tables: Sequence[DataFrame]) -> DataFrame | None:
+    """Tables with different columns, one after the other; missing columns are null. None if there are no tables."""
+    out = None
+    for t in tables:
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def safe_column(df: DataFrame, name: str, default: object = None) -> Column:
+    """A column, or a constant where the table has none of that name."""
+    return F.col(f"`{name}`") if name in df.columns else F.lit(default)

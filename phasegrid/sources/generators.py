@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MIXTURE_MEANS = [2 * math.sqrt(3) * v for v in (-3, -1.75, -0.75, 0, 0.75, 1.75, 3)]
+MIXTURE_SDS = [0.2, 1.0, 0.5, 1.0, 0.5, 1.0, 0.2]
+MIXTURE_WEIGHTS = [0.5, 2.0, 0.5, 1.0, 0.5, 2.0, 0.5]
 
 
 def uniform(key: Column, *salt: int | str) -> Column:
@@ -33,10 +35,16 @@ def _component(u: Column, weights: list[float]) -> Column:
     return out
 
 
+def _components(means, sds, weights) -> tuple[list[float], list[float], list[float]]:
+    """The standard mixture where no means are given; else standard deviations and weights of 1 where they aren't."""
+    if means is None:
+        return MIXTURE_MEANS, sds or MIXTURE_SDS, weights or MIXTURE_WEIGHTS
+    return means, sds or [1.0] * len(means), weights or [1.0] * len(means)
+
+
 def gaussian_mixture(spark: SparkSession, n: int = 5000, means=None, sds=None, weights=None, seed: int = 13) -> DataFrame:
     """``id, z, component`` of a one-dimensional normal mixture."""
-    means = means or MIXTURE_MEANS
-    sds, weights = sds or [1.0] * len(means), weights or [1.0] * len(means)
+    means, sds, weights = _components(means, sds, weights)
     df = spark.range(n).withColumn("component", _component(uniform(F.col("id"), seed, "k"), weights))
     pick = lambda v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), F.col("component"))
     return df.withColumn("z", pick(means) + pick(sds) * normal(F.col("id"), seed))
@@ -44,8 +52,7 @@ def gaussian_mixture(spark: SparkSession, n: int = 5000, means=None, sds=None, w
 
 def mixture_density(points: DataFrame, x: str, means=None, sds=None, weights=None) -> DataFrame:
     """Adds ``density`` of the mixture at a column's values."""
-    means = means or MIXTURE_MEANS
-    sds, weights = sds or [1.0] * len(means), weights or [1.0] * len(means)
+    means, sds, weights = _components(means, sds, weights)
     total = F.lit(0.0)
     for m, s, w in zip(means, sds, weights):
         z = (F.col(x) - m) / s
@@ -104,7 +111,8 @@ def uniform_path(spark: SparkSession, lambdas: list[float], bounds: list[float],
     """For rows spread evenly over an interval of length 1, the best number of equal pieces at each (c, lambda).
 
     ``c, lambda, m, value``: the least of lambda ln m + 1/2 ln(2 pi s^2) + l^2 / (24 s^2), with l = 1/m and s the larger
-    of l / sqrt(12) and the bound's least; the first of equals. ``m_max`` doubles until the best lies inside.
+    of l / sqrt(12) and the bound's least; the first of equals. ``m_max`` doubles until the best lies inside; weights so
+    small that more than 65,536 pieces would be best raise.
     """
     while True:
         grid = spark.createDataFrame([(float(c), float(v)) for c in bounds for v in lambdas], "c double, lambda double")
@@ -114,6 +122,8 @@ def uniform_path(spark: SparkSession, lambdas: list[float], bounds: list[float],
         value = F.col("lambda") * F.ln("m") + F.lit(0.5) * F.ln(F.lit(2 * math.pi) * s * s) + length * length / (F.lit(24.0) * s * s)
         best = m.withColumn("value", value).groupBy("c", "lambda").agg(F.min(F.struct(F.round("value", 12).alias("v"), F.col("m"))).alias("b"))
         best = best.select("c", "lambda", F.col("b.m").alias("m"), F.col("b.v").alias("value"))
-        if best.agg(F.max("m")).first()[0] < m_max or m_max > 1 << 16:
+        if best.agg(F.max("m")).first()[0] < m_max:
             return best
+        if m_max > 1 << 16:
+            raise ValueError(f"the best number of pieces is {m_max} or more")
         m_max *= 2

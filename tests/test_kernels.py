@@ -173,3 +173,32 @@ def test_fits_by_level():
 
     fit = kernels.by_focus(t, focus, fit_level)
     assert not set(fit.labels[focus == 0]) & set(fit.labels[focus == 1]) and math.isfinite(fit.h) and fit.reo == len(set(fit.labels))
+
+
+def test_soft_parameters_of_hard_weights_are_those_of_the_labels():
+    r = np.random.default_rng(3)
+    t = kernels.Table(r.normal(size=(60, 2)), r.integers(0, 3, (60, 2)), 3)
+    labels, w = r.integers(0, 4, 60), r.integers(0, 3, 60).astype(float)
+    for t_ in (t, kernels.Table(t.x[:, :1], univariate=True)):
+        a = kernels.parameters(t_, labels, 2.0, 4.0, w)
+        b = kernels.soft_parameters(t_, np.eye(4)[labels], 2.0, 4.0, w)
+        for name in ("nu", "mean", "cov", "prob", "density_bound", "floor_bound"):
+            assert np.allclose(getattr(a, name), getattr(b, name)), name
+
+
+def test_soft_starts():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(-3, 1, 80), r.normal(3, 1, 80)])[:, None]
+    t = kernels.Table(x, univariate=True)
+    fit = kernels.descend(t, (x[:, 0] > 0).astype(int), 1.0, 2.0)
+    assert kernels.expanded(fit.labels, r).shape == (160, 3) and (kernels.expanded(fit.labels, r)[:, :2].argmax(1) == fit.labels).all()
+    near = kernels.perturbed(fit, r)
+    assert near.shape == (160, 2) and (near.argmax(1) == fit.labels).all()
+    assert np.array_equal(kernels.descend(t, near, 1.0, 2.0).labels, fit.labels)
+
+
+def test_focus_keeps_the_floor():
+    t = kernels.Table(np.empty((0, 0)), np.array([[0], [1], [1], [1], [1], [0], [0], [0], [0], [1]]), 2)
+    whole = lambda part: (kernels.descend(part, np.zeros(part.n, int), 1.0, 1.0, 3.0), 1.0, 1.0)
+    fit = kernels.by_focus(t, np.arange(10) // 5, whole, 3.0)
+    assert np.allclose(np.sort(fit.params.prob[0, 0]), [1 / 3, 2 / 3]) and fit.params.floor_bound.all()

@@ -1,3 +1,4 @@
+import dataclasses
 """Relational operators: hand cases, brute force, and DuckDB for every query that has SQL."""
 
 import math
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from phasegrid.functions import kernels
 from phasegrid.functions.kernels import Params
 from phasegrid.operators import cells, compare, diagnose, display, predict, trajectory
 from phasegrid.plans import bound_grid, descent, paths, queries
@@ -210,7 +212,9 @@ def test_sources(spark):
     assert features.signature(df) == features.signature(df.repartition(3)) != features.signature(df.limit(2))
     mix = generators.gaussian_mixture(spark, 20_000)
     mean = mix.groupBy("component").agg(F.avg("z").alias("m"), F.stddev("z").alias("s")).orderBy("component").collect()
-    assert np.allclose([r.m for r in mean], generators.MIXTURE_MEANS, atol=0.1) and np.allclose([r.s for r in mean], 1, atol=0.06)
+    assert np.allclose([r.m for r in mean], generators.MIXTURE_MEANS, atol=0.1) and np.allclose([r.s for r in mean], [0.2, 1, 0.5, 1, 0.5, 1, 0.2], atol=0.06)
+    share = [r.n / 20_000 * 7 for r in mix.groupBy("component").agg(F.count("*").alias("n")).orderBy("component").collect()]
+    assert np.allclose(share, [0.5, 2, 0.5, 1, 0.5, 2, 0.5], atol=0.1)
     assert generators.lambda_grid(0.1, 0.5, 0.1) == [0.1, 0.2, 0.3, 0.4, 0.5]
     assert generators.sampled(mix, "id", 100).count() == 100
     shown, names = features.represented(mix.select("id", "z", (F.col("z") * 2 + F.sin("id")).alias("y")), ["z", "y"], "PC2")
@@ -266,3 +270,111 @@ def test_evolution(spark):
     assert {(r.z, r.cluster) for r in rows.where("lambda = 0.1").collect()} == {(r.z, r.cluster) for r in rows.where("lambda = 0.2").collect()}
     held = display.evolution_1d(df, "z", {0.1: "a", 0.2: "b", 0.3: "a"}, subset=[0.1])
     assert held.count() == 30
+
+
+def test_changes_by_all_criteria(spark):
+    rows = [(0.1 * (i + 1), f"r{i}", k, n) for i, (k, n) in enumerate([(2, 9), (2, 9), (3, 9), (3, 8), (3, 9), (2, 9)])]
+    path = spark.createDataFrame(rows, "lambda double, run string, reo int, n int")
+    like = {(f"r{a}", f"r{b}"): 1.0 - 0.15 * abs(a - b) for a in range(6) for b in range(6)}
+    flags = lambda **o: [r.change for r in trajectory.detect_changes(path, like, **o).orderBy("lambda").collect()]
+    assert flags(criterion="reo") == [True, False, True, False, True]  # the fourth row has fewer rows than most
+    assert flags(criterion="similarity") == [True, False, True, True, False]
+    assert flags(criterion="reo_and_similarity") == [True, False, True, False, True]
+    assert flags(criterion="reo_or_similarity", include_first=False) == [False, False, True, True, True]
+    assert flags(criterion="similarity", method="consecutive") == [True, False, False, True, False]
+    assert flags(criterion="reo", lambdas=[0.1, 0.2]) == [True, False]
+    assert trajectory.detect_changes(path, like, lambdas=[9.0]).collect() == []
+    with pytest.raises(ValueError):
+        trajectory.detect_changes(path, like, criterion="none")
+
+
+def test_what_is_shown(spark):
+    df = spark.createDataFrame([(i, float(i % 5), "a" if i % 2 else "b", i % 3) for i in range(30)], "id int, x double, f string, cluster int")
+    assert display.display_data(None, df.select("x")).columns == ["Z"] and display.display_data(df, None) is df
+    with pytest.raises(ValueError):
+        display.display_data(None)
+    assert display.display_choices(df) == ["PCA1", "PCA2", "id", "x", "cluster"] and display.display_choices(df.select("x")) == ["x"]
+    assert display.display_vector(df, "x").where("shown <> x").isEmpty() and display.display_vector(df, "none").where("shown IS NOT NULL").isEmpty()
+    assert abs(display.display_vector(df, "PCA1").agg(F.avg("shown")).first()[0]) < 1e-9
+    values = [0.1, 0.30000000000000004, 1.0, 10.0, 0.000123456, 2 / 3, 0.0, 1500.0]
+    keys = spark.createDataFrame([(v,) for v in values], "v double").select("v", display.lambda_key(F.col("v")).alias("k"), display.lambda_label(F.col("v")).alias("t")).collect()
+    assert [r.k for r in keys] == [f"{v:.12g}" for v in values] and keys[5].t == "lambda = 0.6667"
+    best = spark.createDataFrame([(0.2, [1, 2, 10]), (0.1, [1, 1, 2]), (0.3, [1, 1])], "lambda double, labels array<int>")
+    valid = display.valid_partitions(best, 3)
+    assert {r.key for r in valid.collect()} == {"0.1", "0.2"} and display.default_lambda_key(best) == "0.1"
+    with pytest.raises(ValueError):
+        display.valid_partitions(best, 7)
+    assert display.selected_partitions(best, ["0.2"]).count() == 1 and display.selected_partitions(best).count() == 3
+    names = lambda d: [r.label for r in d.orderBy("position").collect()]
+    assert names(display.cluster_levels(best)) == ["1", "2", "10"] and names(display.single_lambda_clusters(best)) == []
+    assert names(display.single_lambda_clusters(display.selected_partitions(best, ["0.2"]))) == ["1", "2", "10"]
+    assert names(display.sorted_labels(spark.createDataFrame([("10",), ("9",), ("x",)], "l string"), "l")) == ["10", "9", "x"]
+    assert display.filtered_cluster(df).count() == 30 and display.filtered_cluster(df, 1).count() == 10
+    params = spark.createDataFrame([("r", 1, [1.0, 2.0])], "run string, k int, mean array<double>")
+    assert display.component_means(params, ["x", "y"], "y").first().mean == 2.0 and display.component_means(params, ["x", "y"], "z").isEmpty()
+    assert display.shown_lambdas([1, 2, 3, 4, 5], at_most=3) == [1, 3, 5] and display.shown_lambdas([1, 2], [2]) == [2]
+    fits = spark.createDataFrame([(0.1, "fixed", 1, 2.0, [1]), (0.1, "boot", 1, 1.0, [2])], "lambda double, task_type string, task_idx int, h double, labels array<int>")
+    assert display.best_partitions(fits).first().h == 1.0 and display.best_partitions(best) is best
+
+
+def test_flexible_rows_and_index_table(spark):
+    from phasegrid.operators import starts
+
+    a, b = spark.createDataFrame([(1, "x")], "i int, s string"), spark.createDataFrame([(2.5,)], "v double")
+    assert [tuple(r) for r in features.bind_rows([a, b]).collect()] == [(1, "x", None), (None, None, 2.5)] and features.bind_rows([]) is None
+    assert a.select(features.safe_column(a, "s").alias("s"), features.safe_column(a, "none", 7).alias("d")).first() == ("x", 7)
+    assert starts.index_table(a, "i", 3).count() == 3
+
+
+def test_runtime_and_families(spark):
+    from phasegrid.functions import families
+    from phasegrid.plans import runtime
+
+    info = runtime.performance_info(spark)
+    assert info["cores"] == spark.sparkContext.defaultParallelism and info["spark"] == spark.version
+    assert runtime.default_cores(32, 8) == 8 and runtime.default_cores(3, 8) == 3
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    assert runtime.configure(spark, "base").cores == 1 and spark.conf.get("spark.sql.adaptive.enabled") == "false"
+    assert "profile fast" in str(runtime.configure(spark, "fast", cores=2)) and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+    with pytest.raises(ValueError):
+        runtime.configure(spark, "none")
+    assert families.names() == ["discreteVector", "gaussAndDiscreteVector", "gaussUniv", "gaussVector"]
+
+    def wide(t, labels, c_bound, c_qual, w):
+        p = kernels.parameters(t, labels, c_bound, c_qual, w)
+        p.cov[:] = 25.0
+        return p
+
+    families.register(families.Family("wide", wide, kernels.log_densities))
+    try:
+        x = np.concatenate([np.linspace(0, 1, 40), np.linspace(9, 10, 40)])[:, None]
+        t = kernels.Table(x, univariate=True, family="wide")
+        fit = kernels.descend(t, np.arange(80) // 40, 1.0, 5.0)
+        assert (fit.params.cov == 25.0).all() and families.family_of(t).name == "wide"
+        assert np.array_equal(families.descend(t, np.arange(80) // 40, 1.0, 5.0).labels, fit.labels)
+        with pytest.raises(ValueError):
+            families.register(families.Family("wide", wide, kernels.log_densities))
+    finally:
+        families.unregister("wide")
+    with pytest.raises(ValueError):
+        families.family("wide")
+
+
+def test_a_folder_of_other_data_or_settings_is_refused(spark, tmp_path):
+    from phasegrid.plans import checkpoints
+
+    t = kernels.Table(np.linspace(0, 1, 30)[:, None], univariate=True)
+    s = paths.Settings([0.3], [1.0], 1, 0, 1, 1, 2, loops=5)
+    path = str(tmp_path / "fits")
+    n = paths.checkpointed(spark, t, s, path).count()
+    assert paths.checkpointed(spark, t, s, path).count() == n
+    for other_t, other_s in ((kernels.Table(t.x * 2, univariate=True), s), (t, dataclasses.replace(s, shots=2))):
+        with pytest.raises(ValueError, match="other data or settings"):
+            paths.checkpointed(spark, other_t, other_s, path)
+    assert checkpoints.partition_lengths(paths.checkpointed(spark, t, s, path)) == [30]
+    with pytest.raises(ValueError, match="30"):
+        checkpoints.validate_lengths(paths.checkpointed(spark, t, s, path), 31)
+    assert checkpoints.clean_token(0.25) == "0p25" and len(checkpoints.compact_token({"a": 1})) == 16
+    assert checkpoints.grid_dir("/x", 9, 1, r0=3) != checkpoints.grid_dir("/x", 9, 1, r0=4)
+    assert checkpoints.temp_dir("/x", "s" * 64) == "/x/lambda-grid-" + "s" * 16 and checkpoints.forced_dir("/x/y").startswith("/x/fr_")
