@@ -75,8 +75,8 @@ def first_largest(values: Sequence[Column]) -> Column:
     """Position, from 1, of the largest value; the first of equals. NaN never wins over a number."""
     if len(values) == 1:
         return F.lit(1)
-    values = [F.when(F.isnan(v), F.lit(NEG_INF)).otherwise(v) for v in values]
-    return F.array_position(F.array(*values), F.greatest(*values)).cast("int")
+    each = [F.struct(F.nanvl(v, F.lit(NEG_INF)).alias("v"), F.lit(-k).alias("k")) for k, v in enumerate(values, 1)]  # a score once
+    return -F.array_max(F.array(*each))["k"]
 
 
 def label(params: Params, xs: Sequence[Column], codes: Sequence[Column], lam: float) -> Column:
