@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from phasegrid.functions import kernels
+from phasegrid.functions import kernels, linalg
 from phasegrid.functions.kernels import Params
 from phasegrid.operators import cells, compare, diagnose, display, predict, trajectory
 from phasegrid.plans import bound_grid, descent, paths, queries
@@ -169,7 +169,7 @@ def test_whole_grid(spark, tmp_path):
             for own, other in ((a, b), (b, a)):
                 if other["final_descent"]:
                     continue  # found after the repairs
-                x, y = bound_grid._evaluate(t, np.asarray(other["labels"]) - 1, own["c"], s)
+                x, y = bound_grid._evaluate(t, grid.labels_of(other["run"]) - 1, own["c"], s)
                 assert own["h"] <= x + y / own["lambda"] + 1e-9
     if grid.stop_c is not None:
         assert all(r["c_reused"] == (r["c"] > grid.stop_c) for r in grid.rows)
@@ -178,6 +178,15 @@ def test_whole_grid(spark, tmp_path):
     assert sum(counts) == 90 and counts == sorted(counts, reverse=True)
     assert grid.zones(stab=0.0, rsi=0.0, sat=1.0).count() == 8
     assert grid.changes().count() == 8
+    for r in grid.rows:  # the objective, clusters and saturation are those of the labels, with or without the copies' origin
+        own = grid.labels_of(r["run"]) - 1
+        a, b = bound_grid._evaluate(t, own, r["c"], s)
+        share, n = kernels.saturation(kernels.parameters(t, own, r["c"]))
+        assert abs(r["h"] - a - b / r["lambda"]) < 1e-9 and r["reo"] == own.max() + 1 and (abs(r["sat"] - share) < 1e-12, r["n_sat_clusters"]) == (True, n)
+        assert r["repaired"] == (r["propagated_from_c"] is not None)
+    labels = {r.run: np.asarray(r.labels) for r in grid.labels.collect()}
+    pairs = {(a["run"], b["run"]) for a in grid.rows for b in grid.rows}
+    assert bound_grid.similarities(grid.labels, pairs) == {(a, b): 1.0 if a == b else linalg.similarity(labels[a], labels[b]) for a, b in pairs}
     grid.save(str(tmp_path / "grid"))
     assert bound_grid.compacted(spark.read.parquet(str(tmp_path / "grid"))).count() == 8
     first = paths.checkpointed(spark, t, s, str(tmp_path / "fits"))
