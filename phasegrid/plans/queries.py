@@ -910,16 +910,20 @@ def soft_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TWO = {"status": "CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END", "many": "CASE WHEN l_quantity > 30 THEN 2 ELSE 1 END", "outside": "CASE WHEN l_quantity > 20 THEN 1 ELSE 2 END"}
+
+
 @query(
     "path_distance",
-    f"""WITH c AS (SELECT count(DISTINCT {_RUNS_SQL['r0']}) AS k FROM lineitem) SELECT CAST(lam AS DOUBLE) AS lambda, k AS k_hat, CAST(0 AS DOUBLE) AS distance FROM c, (SELECT unnest([0.1, 0.2]) AS lam)""",
+    "WITH l AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _TWO.items()) + """ FROM lineitem),
+    m AS (SELECT 0.1 AS lam, CAST(avg(CASE WHEN status = outside THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS same FROM l UNION ALL SELECT 0.2, avg(CASE WHEN many = outside THEN 1.0 ELSE 0.0 END) FROM l)
+    SELECT CAST(lam AS DOUBLE) AS lambda, CAST(2 AS BIGINT) AS k_hat, round(1 - greatest(same, 1 - same), 9) AS distance FROM m""",
 )
 def path_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of a path's partitions to an outside one with as many clusters (the same up to names: 0)."""
-    df = _run_labels(spark, sf_dir).withColumn("other", 10 - F.col("r0"))
-    k = df.agg(F.count_distinct("r0")).first()[0]
-    rows = compare.path_distance({0.1: "r0", 0.2: "other"}, {k: "other"}, df)
-    return spark.createDataFrame(rows, "lambda double, k_hat long, distance double")
+    """Distance of a path's partitions of all line items to an outside one with as many clusters, under the best renaming."""
+    df = table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in _TWO.items()])
+    rows = compare.path_distance({0.1: "status", 0.2: "many"}, {2: "outside"}, df)
+    return spark.createDataFrame(rows, "lambda double, k_hat long, distance double").withColumn("distance", F.round("distance", 9))
 
 
 @query("icl_components")
@@ -966,3 +970,23 @@ def bound_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, ids = _suppliers(spark, sf_dir)
     s = paths.Settings([0.1, 0.3, 0.6, 1.0], [0.3, 1.0], 2, 2, 4, 2, seed=11, loops=100)
     return rounded(bound_grid.fit_bound_grid(spark, t, ids, s).summary())
+
+
+_GRID_RUNS = {"r1": "CAST(s_suppkey % 3 + 1 AS INT)", "r2": "CAST(CASE WHEN s_acctbal < 2000 THEN 1 WHEN s_acctbal < 6000 THEN 2 ELSE 3 END AS INT)", "r3": "CAST(CASE WHEN s_acctbal < 4500 THEN 1 ELSE 2 END AS INT)"}
+
+
+@query(
+    "grid_scores",
+    "WITH l AS (" + " UNION ALL ".join(f"SELECT '{r}' AS run, {e} AS k, s_acctbal / 1000 AS z FROM supplier" for r, e in _GRID_RUNS.items()) + f"""),
+    p AS (SELECT run, k, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM supplier) AS nu, var_pop(z) AS v FROM l GROUP BY run, k),
+    g AS (SELECT run, nu, v, CAST(c AS DOUBLE) AS c, greatest(v, ({LEAST} / c) * ({LEAST} / c)) AS g FROM p, (SELECT unnest([0.1, 0.2, 0.5, 2.0]) AS c))
+    SELECT run, c, round(-sum(nu * ln(nu)), 6) AS a, round(0.5 * (ln(2 * pi()) + sum(nu * ln(g)) + sum(nu * v / g)), 6) AS b FROM g GROUP BY run, c""",
+)
+def grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of three partitions of all suppliers at four bounds, as the grid's tasks compute them."""
+    t, _ = _suppliers(spark, sf_dir)
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", *[F.expr(e).alias(r) for r, e in _GRID_RUNS.items()])
+    kept = [F.array_sort(F.collect_list(F.struct("s_suppkey", r)))[r].alias(r) for r in _GRID_RUNS]
+    wide = df.agg(*kept)  # a local table's rows, by id
+    labels = wide.select(F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col(r).alias("labels")) for r in _GRID_RUNS])).alias("e")).select("e.*")
+    return rounded(bound_grid.evaluations(t, labels, [0.1, 0.2, 0.5, 2.0], math.inf))
