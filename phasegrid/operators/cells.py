@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from phasegrid.operators.diagnose import finite
 
 
+#: Most ranges of positions that ``bands`` makes.
+MAX_RANGES = 4096
+
+
 def nearest(df: DataFrame, column: str, value: float, tol: float | None = None) -> DataFrame:
     """The rows whose value is nearest (the smaller of equals); none if ``tol`` is given and it is further off."""
     near = df.agg(F.min_by(column, F.struct(F.abs(F.col(column) - F.lit(value)), F.col(column))).alias("_near"))
@@ -112,30 +116,38 @@ def zone_table(grid: DataFrame, similarities: dict[tuple, float], at_least: floa
     return grid.select("c", "lambda", "reo", "keep", "run").groupBy(F.lit("all")).applyInPandas(fold, "c double, lambda double, zone int")
 
 
-def bands(df: DataFrame, x: str, label: str, buckets: int = 64) -> DataFrame:
+def bands(df: DataFrame, x: str, label: str, range_rows: int = 100_000) -> DataFrame:
     """Stretches of equal label along a numeric column: ``band_label, low, high, n``; edges lie midway between stretches.
 
-    Equal values are one position with their smallest label. Positions are numbered within ranges of the column and then
-    over ranges, so no task orders the whole table; what crosses ranges is one row a stretch and range.
+    Equal values are one position with their smallest label. Positions are cut into ranges at approximate quantiles, about
+    ``range_rows`` each and at most ``MAX_RANGES``, and stretches are numbered within ranges; a range's first one goes on
+    from the range before if the labels agree. Only the table of ranges, one row each, is ordered in one task.
     """
-    points = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.min(label).alias("l"), F.count("*").alias("m"))
-    lo, hi = points.agg(F.min("x"), F.max("x")).first()
-    if lo is None:
-        return points.select(F.col("l").alias("band_label"), F.col("x").alias("low"), F.col("x").alias("high"), F.col("m").alias("n"))
-    size = (hi - lo) / buckets or 1.0
-    points = points.withColumn("r", F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(size)), F.lit(buckets - 1)))
+    points = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.min(label).alias("l"), F.count("*").alias("m"))
+    ranges = min(MAX_RANGES, points.count() // range_rows + 1)
+    cuts = []
+    if ranges > 1:
+        share = [i / ranges for i in range(1, ranges)]
+        cuts = sorted(set(points.agg(F.percentile_approx("x", share, 100 * ranges)).first()[0]))
+    bounds = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>") if cuts else None
+    place = F.aggregate(bounds, F.lit(0), lambda n, v: n + (v <= F.col("x")).cast("int")) if cuts else F.lit(0)
+    points = points.withColumn("r", place)
     w = Window.partitionBy("r").orderBy("x")
     new = F.when(F.col("l").eqNullSafe(F.lag("l").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     part = points.withColumn("new", new).withColumn("s", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     part = part.groupBy("r", "s").agg(F.first("l").alias("l"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.sum("m").alias("m"))
-    # Stretches of all ranges, joined where the label goes on: as many rows as there are changes of label.
-    g = Window.orderBy("x0")
-    part = part.withColumn("new", F.when(F.col("l").eqNullSafe(F.lag("l").over(g)) & (F.row_number().over(g) > 1), 0).otherwise(1))
-    part = part.withColumn("s", F.sum("new").over(g.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = part.groupBy("r").agg(F.min(F.struct("s", "l"))["l"].alias("first"), F.max(F.struct("s", "l"))["l"].alias("last"), F.max("s").alias("stretches"))
+    g = Window.orderBy("r")  # a row a range
+    goes_on = F.when(F.col("first").eqNullSafe(F.lag("last").over(g)) & (F.row_number().over(g) > 1), 1).otherwise(0)
+    ends = ends.withColumn("goes_on", goes_on)
+    own = F.col("stretches") - F.col("goes_on")
+    ends = ends.withColumn("before", F.sum(own).over(g.rowsBetween(Window.unboundedPreceding, 0)) - own - F.col("goes_on"))
+    part = part.join(F.broadcast(ends.select("r", "before")), "r").withColumn("s", F.col("before") + F.col("s"))
     runs = part.groupBy("s").agg(F.first("l").alias("band_label"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.sum("m").alias("n"))
-    o = Window.orderBy("s")
-    low = F.coalesce((F.col("x0") + F.lag("x1").over(o)) / 2, F.col("x0"))
-    high = F.coalesce((F.col("x1") + F.lead("x0").over(o)) / 2, F.col("x1"))
+    left = runs.select((F.col("s") + 1).alias("s"), F.col("x1").alias("x1_before"))
+    right = runs.select((F.col("s") - 1).alias("s"), F.col("x0").alias("x0_after"))
+    runs = runs.join(left, "s", "left").join(right, "s", "left")
+    low, high = F.coalesce((F.col("x0") + F.col("x1_before")) / 2, F.col("x0")), F.coalesce((F.col("x1") + F.col("x0_after")) / 2, F.col("x1"))
     return runs.select("band_label", low.alias("low"), high.alias("high"), "n")
 
 

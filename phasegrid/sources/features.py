@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from phasegrid.operators import display
 
 
+#: Most levels of a model's categorical columns.
+MAX_LEVELS = 10_000
+
+
 def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``level, code`` of the pooled, sorted levels of all categorical columns, codes from 1, and where each occurs.
 
@@ -25,9 +29,14 @@ def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def encoded(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Adds ``<column>_code`` from 0 for each categorical column, and the pooled levels in order of code.
 
-    The dictionary is small, so codes are a constant map in the projection: no join.
+    Level probabilities are parameters of the model, so their number is bounded: more than ``MAX_LEVELS`` raise. Codes are
+    a constant map in the projection: no join.
     """
-    levels = [r["level"] for r in dictionary(df, columns).orderBy("code").collect()]
+    found = dictionary(df, columns)
+    n = found.count()
+    if n > MAX_LEVELS:
+        raise ValueError(f"{n} levels; a model holds at most {MAX_LEVELS}")
+    levels = [r["level"] for r in found.orderBy("code").collect()]
     if not levels:
         return df, levels
     codes = F.create_map(*[F.lit(v) for k, x in enumerate(levels) for v in (x, k)])

@@ -387,3 +387,26 @@ def test_a_folder_of_other_data_or_settings_is_refused(spark, tmp_path):
     assert checkpoints.clean_token(0.25) == "0p25" and len(checkpoints.compact_token({"a": 1})) == 16
     assert checkpoints.grid_dir("/x", 9, 1, r0=3) != checkpoints.grid_dir("/x", 9, 1, r0=4)
     assert checkpoints.temp_dir("/x", "s" * 64) == "/x/lambda-grid-" + "s" * 16 and checkpoints.forced_dir("/x/y").startswith("/x/fr_")
+
+
+def test_bands_over_many_ranges_equal_one_pass(spark):
+    r = random.Random(8)
+    rows = [(float(r.choice([i, i, 7, 500])), r.choice([1, 1, 1, 2])) for i in range(900)]
+    df = spark.createDataFrame(rows, "x double, k int")
+    at = {}
+    for x, k in rows:
+        n, low = at.get(x, (0, k))
+        at[x] = (n + 1, min(low, k))
+    want = []
+    for x in sorted(at):
+        n, k = at[x]
+        if want and want[-1][0] == k:
+            want[-1][2:] = [x, want[-1][3] + n]
+        else:
+            want.append([k, x, x, n])
+    edges = [(a[2] + b[1]) / 2 for a, b in zip(want, want[1:])]
+    want = [(k, lo, hi, n) for (k, x0, x1, n), lo, hi in zip(want, [want[0][1], *edges], [*edges, want[-1][2]])]
+    for size in (10, 37, 10_000):
+        got = sorted((tuple(b) for b in cells.bands(df, "x", "k", size).collect()), key=lambda b: b[1])
+        assert got == want, size
+    assert cells.bands(df.where("x < 0"), "x", "k").collect() == []
