@@ -24,6 +24,7 @@ any other; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -89,6 +90,8 @@ class Codec:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.control = {i for i in range(n) if sp.is_control(i)}
         self.unknown = sp.unk_id()
+        self.special = np.zeros(n, bool)  # tokens that aren't decoded to their piece
+        self.special[[*self.byte_of, *self.control, self.unknown]] = True
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         single = [i for i in plain if len(self.pieces[i]) == 1]
         merges = sorted((i for i in plain if len(self.pieces[i]) > 1), key=lambda i: (-sp.get_score(i), i))
@@ -172,7 +175,7 @@ class Codec:
             shifted[:-h] = rank[h:]
             rank = np.unique(rank * (len(text) + 2) + shifted, return_inverse=True)[1].astype(np.int64) + 1
             h *= 2
-        return np.argsort(rank, kind="stable")
+        return np.argsort(rank)
 
     def _ranges(self, text: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each piece's occurrences as a range of the suffix array."""
@@ -201,9 +204,9 @@ class Codec:
         return low, np.maximum(low, high)
 
     def _index(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of the parts, end to end, and where each part's start (one more entry for the end)."""
+        """Token ids of the parts, end to end, and where each part's start (one more entry for the end); spaces are U+2581."""
         lengths = np.array([len(p) for p in parts], np.int64)
-        text = np.frombuffer(("\n".join(parts) + "\n").encode("utf-32-le"), np.uint32)
+        text = np.frombuffer(("\n".join(parts) + "\n").replace(" ", "▁").encode("utf-32-le"), np.uint32)
         n = len(text)
         starts = np.cumsum(lengths + 1) - (lengths + 1)
         suffixes = self._suffixes(text)
@@ -216,13 +219,9 @@ class Codec:
         token = np.concatenate([token, -2 - text[own].astype(np.int64)])
         size, pos = np.concatenate([size, np.ones(len(own), np.int64)]), np.concatenate([pos, own])
         end = pos + size
-        order = np.argsort(end * 32 - size, kind="stable")  # by end, longest first
-        token, pos, end = token[order], pos[order], end[order]
-        first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-        turn = np.arange(len(end)) - np.repeat(first, np.diff(np.concatenate([first, [len(end)]])))
-        local = end - np.repeat(starts, lengths + 1)[pos]
-        key = local * 32 + turn
-        order = np.argsort(key, kind="stable")
+        # By end in the part, longest first. Edges of one end and size stand in different parts, so their order is free.
+        key = ((end - np.repeat(starts, lengths + 1)[pos]) * 32 - size).astype(np.int32 if n < 1 << 26 else np.int64)
+        order = np.argsort(key)
         token, pos, end, key = token[order], pos[order], end[order], key[order]
         groups = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         last, come = np.full(n + 1, -(2**40), np.int64), np.full(n + 1, -1, np.int64)
@@ -263,8 +262,7 @@ class Codec:
             if held >= INDEX_CHARS or i == len(parts) - 1:
                 ids, at = self._index(todo)
                 base = len(self.start) - 1
-                for k, q in enumerate(todo):
-                    self.part[q] = base + k
+                self.part.update(zip(todo, range(base, base + len(todo))))
                 self.start = np.concatenate([self.start, at[1:] + self.start[-1]])
                 self.flat = np.concatenate([self.flat, ids])
                 todo, held = [], 0
@@ -277,47 +275,50 @@ class Codec:
         for t in texts:
             t = (t or "").replace("▁", " ")
             cut_up.append(_PART.findall(" " + t) if t else [])
-        new = {p for parts in cut_up for p in parts if p not in self.part}
+        new = set().union(*cut_up).difference(self.part)
         if "\n" in new:
             new.discard("\n")
             self.part["\n"] = len(self.start) - 1
             self.flat = np.append(self.flat, np.int32(self.byte_id[10]))
             self.start = np.append(self.start, self.start[-1] + 1)
-        marked = {p: p.replace(" ", "▁") for p in new}
         if new:
-            plain = sorted(new)
-            before = len(self.start) - 1
-            self._learn([marked[p] for p in plain])
-            for k, p in enumerate(plain):  # known by their spelling in texts
-                self.part.pop(marked[p], None)
-            for k, p in enumerate(plain):
-                self.part[p] = before + k
-        out = []
-        for parts in cut_up:
-            at = np.fromiter(map(self.part.__getitem__, parts), np.int64, len(parts))
-            size = self.start[at + 1] - self.start[at]
-            shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-            out.append(self.flat[shift + np.arange(size.sum())])
-        return out
+            self._learn(sorted(new))
+        counts = np.array([len(parts) for parts in cut_up], np.int64)
+        at = np.fromiter(map(self.part.__getitem__, itertools.chain.from_iterable(cut_up)), np.int64, counts.sum())
+        size = self.start[at + 1] - self.start[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
+        return np.split(flat, before[np.cumsum(counts)][:-1]) if texts else []
 
     def decode(self, ids) -> str:
         """The text of token ids; control tokens say nothing, bytes that aren't UTF-8 become U+FFFD."""
         if not len(ids):
             return ""
-        out, held = [], bytearray()
-        for i in ids:
-            i = int(i)
-            b = self.byte_of.get(i)
-            if b is not None:
-                held.append(b)
-                continue
+        ids = np.asarray(ids, np.int64)
+        out: list[str] = []
+        held = bytearray()
+        last, every = 0, ids.tolist()
+
+        def flush() -> None:
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            if i not in self.control:
-                out.append(" ⁇ " if i == self.unknown else self.pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
+
+        for k in [*np.flatnonzero(self.special[ids]).tolist(), len(every)]:
+            if k > last:
+                flush()
+                out.extend(map(self.pieces.__getitem__, every[last:k]))
+            last = k + 1
+            if k == len(every):
+                break
+            b = self.byte_of.get(every[k])
+            if b is not None:
+                held.append(b)
+                continue
+            flush()
+            if every[k] == self.unknown:
+                out.append(" ⁇ ")
+        flush()
         text = "".join(out).replace("▁", " ")
         return text[1:] if text.startswith(" ") else text
 
