@@ -10,11 +10,14 @@
 3. Lists of more than ``SHORT`` members link them to their smallest and largest one, not to each other; components of
    what is confirmed collapse the large groups. Then pairs of different components are compared too, so no link is lost:
    those that meet in three short lists, and in long lists those between the largest component's members and the others,
-   and among the others. These are compared in blocks of ``BLOCK``, by products of incidence matrices, so a sketch is sent
-   once a block, and a list that has collapsed into one component costs nothing more. ``SHORT`` says which way is taken,
-   never whether a pair is compared.
+   and among the others. Lists with the same largest component are united where that is less work, since a family of near
+   copies meets in many. They are compared in blocks of up to ``BLOCK`` members and about ``BLOCK_HASHES`` hashes, by
+   products of incidence matrices: sketches first, then the full sets of hashes, which are sent once a block. A block
+   returns only pairs that join components not yet joined in it, fewer than its members, however many are alike. A list
+   that has collapsed into one component costs nothing more. ``SHORT`` says which way is taken, never whether a pair is
+   compared.
 4. The union sketch estimates each candidate's resemblance and drops those below 0.5; texts of the others are compared
-   exactly, on full sets. A pair's text of more links is sent once for up to ``CHUNK`` partners. Components are found by
+   exactly, on full sets of words. A pair's text of more links is sent once for up to ``CHUNK`` partners. Components are found by
    alternating large and small stars.
 
 All counts are over all documents; nothing is capped. Components, links and sketches stay in DataFrames. Joins of rows
@@ -43,7 +46,10 @@ NEEDED = 32
 MEET = 3
 SHORT = 64
 BLOCK = 8192
+BLOCK_HASHES = 1 << 20
 TILE = 256
+SLICE = 4096
+FEW = 100_000
 CHUNK = 32
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CACHE_WORDS = 400_000
@@ -210,76 +216,165 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def hash_sets(reps: DataFrame, docs: DataFrame, size: int = 2) -> DataFrame:
+    """``rep, hashes``: all shingle hashes of the representatives, ascending. Up to ``FEW`` of them are broadcast."""
+    schema = pa.schema([("rep", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            first, sets, total = 0, [], 0
+            for i, text in enumerate(batch.column(1)):
+                sets.append(shingle_hashes(text.as_py(), known, size))
+                total += len(sets[-1])
+                if total >= BLOCK_HASHES or i + 1 == batch.num_rows:
+                    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), lists], schema=schema)
+                    first, sets, total = i + 1, [], 0
+
+    wanted = reps.select("rep", "doc_id", "text_hash")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    rows = _identified(docs).join(wanted, ["doc_id", "text_hash"]).select("rep", "text")
+    return cut(rows.mapInArrow(run, "rep long, hashes array<long>").dropDuplicates(["rep"]))
+
+
 def _shared(left: np.ndarray, left_of: np.ndarray, right: np.ndarray, right_of: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Numbers of values that each of ``rows`` sketches shares with each of ``columns``, from values and their owners."""
+    """Numbers of values that each of ``rows`` sets shares with each of ``columns``, from values and their owners."""
     common = np.intersect1d(left, right)
     sides = []
-    for values, owner, n in ((left, left_of, rows), (right, right_of, columns)):
-        side = np.zeros((n, len(common)), np.float32)
+    for values, owner in ((left, left_of), (right, right_of)):
         at = np.searchsorted(common, values)
         found = at < len(common)
         found[found] = common[at[found]] == values[found]
-        side[owner[found], at[found]] = 1
-        sides.append(side)
-    return sides[0] @ sides[1].T
+        at, owner = at[found], owner[found]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], owner[order]))
+    shared = np.zeros((rows, columns))
+    for low in range(0, len(common), SLICE):  # so that long texts need no matrix as wide as all they share
+        parts = []
+        for (at, owner), n in zip(sides, (rows, columns)):
+            some = slice(*np.searchsorted(at, (low, low + SLICE)))
+            part = np.zeros((n, min(SLICE, len(common) - low)), np.float32)
+            part[owner[some], at[some] - low] = 1
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+    return shared
 
 
 class _Tile:
-    """Some members of a list, with near sizes."""
+    """Some members of a list, with near sizes; their sketches, or all their hashes, of which the first are the sketch."""
 
-    def __init__(self, frame):
+    def __init__(self, frame, k: int):
         self.rep, self.component, self.n = (frame[c].to_numpy(np.int64) for c in ("rep", "component", "n"))
-        sketches = frame["sketch"].to_list()
+        self.sets = frame["hashes" if "hashes" in frame else "sketch"].to_list()
+        sketches = [x[:k] for x in self.sets]
         self.kept = np.array([len(x) for x in sketches], np.int64)
         self.values, self.owner = np.concatenate(sketches), np.repeat(np.arange(len(sketches)), self.kept)
 
     def candidates(self, other: _Tile, k: int) -> np.ndarray:
-        """Pairs of different components whose sizes and sketches allow a resemblance of 0.8."""
+        """Whether components differ and sizes and sketches allow a resemblance of 0.8, for each pair."""
         if self.n.max() * 5 < other.n.min() * 4 or other.n.max() * 5 < self.n.min() * 4:
-            return np.empty((0, 2), np.int64)
+            return np.zeros((len(self.rep), len(other.rep)), bool)
         shared = _shared(self.values, self.owner, other.values, other.owner, len(self.rep), len(other.rep))
         union = self.kept[:, None] + other.kept[None, :] - shared
         ok = shared * 2 >= np.minimum(union, k)
         ok &= self.component[:, None] != other.component[None, :]
-        ok &= np.minimum(self.n[:, None], other.n[None, :]) * 5 >= np.maximum(self.n[:, None], other.n[None, :]) * 4
-        x, y = np.nonzero(ok)
-        return np.sort(np.stack([self.rep[x], other.rep[y]], 1), 1)
+        return ok & (np.minimum(self.n[:, None], other.n[None, :]) * 5 >= np.maximum(self.n[:, None], other.n[None, :]) * 4)
+
+    def similar(self, other: _Tile, percent: int) -> np.ndarray:
+        """Whether all hashes have the resemblance asked for, for each pair."""
+        sides = [(np.concatenate(t.sets), np.repeat(np.arange(len(t.sets), dtype=np.int32), t.n)) for t in (self, other)]
+        both = _shared(*sides[0], *sides[1], len(self.rep), len(other.rep))
+        return 100 * both >= percent * (self.n[:, None] + other.n[None, :] - both)
+
 
+class _Joined(dict):
+    """Which components the pairs so far have joined."""
 
-def _rest(k: int, tile: int):
-    """Pairs of a block of a list's members outside its largest component and a block of all its members."""
+    def root(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = x = self[up]
+        return x
+
+    def roots(self, components: np.ndarray) -> np.ndarray:
+        return np.array([self.root(x) for x in components.tolist()], np.int64)
+
+    def joining(self, left: np.ndarray, right: np.ndarray) -> Iterator[int]:
+        """Places of the pairs of components that weren't joined before."""
+        for i, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self[x] = y
+                yield i
+
+
+def _rest(k: int, tile: int, percent: int | None = None):
+    """Pairs of a block of a list's members outside its largest component and a block of all its members.
+
+    Without ``percent``, all that sketches allow; with it, of those that all hashes confirm as many as join components.
+    """
 
     def run(members):
         import pandas as pd
 
-        tiles = {}
+        tiles, joined, found = {}, _Joined(), []
         for outside, some in members.sort_values("n", kind="stable").groupby("outside"):
-            tiles[bool(outside)] = [_Tile(some.iloc[i : i + tile]) for i in range(0, len(some), tile)]
-        found = [x.candidates(y, k) for x in tiles.get(True, ()) for y in tiles.get(False, ())]
+            tiles[bool(outside)] = [_Tile(some.iloc[i : i + tile], k) for i in range(0, len(some), tile)]
+        for x in tiles.get(True, ()):
+            for y in tiles.get(False, ()):
+                ok = x.candidates(y, k)
+                if percent is not None and ok.any():
+                    ok &= joined.roots(x.component)[:, None] != joined.roots(y.component)[None, :]
+                    if ok.any():
+                        ok &= x.similar(y, percent)
+                i, j = np.nonzero(ok)
+                if percent is not None:
+                    new = list(joined.joining(x.component[i], y.component[j]))
+                    i, j = i[new], j[new]
+                found.append(np.sort(np.stack([x.rep[i], y.rep[j]], 1), 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def long_list_pairs(at: DataFrame, reps: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
-    """Candidates (a, b) of lists, given as (v, rep, component): members of different components with like sketches."""
+def long_list_pairs(
+    at: DataFrame, reps: DataFrame, docs: DataFrame, percent: int = 80, k: int = K, size: int = 2, block: int = BLOCK
+) -> DataFrame:
+    """Links (a, b) of lists, given as (v, rep, component): as many as join the components that their members' links join."""
     parts = at.groupBy("v", "component").agg(F.count("*").alias("m"))
-    largest = parts.groupBy("v").agg(
+    lists = parts.groupBy("v").agg(
         F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("parts")
     )
-    largest = largest.where("parts > 1").select(
-        "v", F.col("top.component").alias("top"),
-        F.ceil((F.col("m") - F.col("top.m")) / block).alias("others"), F.ceil(F.col("m") / block).alias("blocks"),
-    )
-    members = at.join(largest, "v").join(reps.select("rep", "n", "sketch"), "rep")
+    lists = lists.where("parts > 1").select(
+        "v", F.col("top.component").alias("top"), ((F.col("m") - F.col("top.m")) * F.col("m")).alias("work")
+    )
+    lists = cut(lists)
+    members = cut(at.join(lists.select("v", "top"), "v").select("v", "top", "rep", "component"))
+    other = F.col("component") != F.col("top")
+    united = members.select("top", "rep", "component").distinct()
+    whole = united.groupBy("top").agg((F.count_if(other) * F.count("*")).alias("together"))
+    whole = cut(whole.join(lists.groupBy("top").agg(F.sum("work").alias("work")), "top").where("together <= work").select("top"))
+    columns = ["united", "v", "top", "rep", "component"]
+    groups = united.join(whole, "top").select("*", F.lit(True).alias("united"), F.col("top").alias("v")).select(columns)
+    groups = groups.unionByName(members.join(whole, "top", "left_anti").select("*", F.lit(False).alias("united")).select(columns))
+    groups = cut(groups.join(reps.select("rep", "n"), "rep"))
+    sets = hash_sets(reps.join(groups.select("rep").distinct(), "rep", "left_semi"), docs, size)
+    numbers = lambda m, n: F.greatest(F.ceil(m / block), F.ceil(n / BLOCK_HASHES))
+    blocks = groups.groupBy("united", "v").agg(
+        numbers(F.count_if(other), F.sum(F.when(other, F.col("n")).otherwise(0))).alias("others"),
+        numbers(F.count("*"), F.sum("n")).alias("blocks"),
+    )
+    rows = groups.join(blocks, ["united", "v"]).join(sets, "rep")
     number = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["v", "i", "j", "outside", "rep", "component", "n", "sketch"]
-    outside = members.where("component <> top").select("*", F.lit(True).alias("outside"), number("others").alias("i"), every("blocks").alias("j"))
-    inside = members.select("*", F.lit(False).alias("outside"), every("others").alias("i"), number("blocks").alias("j"))
+    columns = ["united", "v", "i", "j", "outside", "rep", "component", "n", "hashes"]
+    outside = rows.where(other).select("*", F.lit(True).alias("outside"), number("others").alias("i"), every("blocks").alias("j"))
+    inside = rows.select("*", F.lit(False).alias("outside"), every("others").alias("i"), number("blocks").alias("j"))
     both = outside.select(columns).unionByName(inside.select(columns))
-    return both.groupBy("v", "i", "j").applyInPandas(_rest(k, TILE), "a long, b long")
+    return both.groupBy("united", "v", "i", "j").applyInPandas(_rest(k, TILE, percent), "a long, b long")
 
 
 def document_components(docs: DataFrame, percent: int = 80, k: int = K, size: int = 2) -> DataFrame:
@@ -332,8 +427,10 @@ def document_components(docs: DataFrame, percent: int = 80, k: int = K, size: in
     pairs = short.join(other, "v").where("rep < b AND component <> b_component")
     pairs = pairs.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("n"), F.min(F.least("meet", "b_meet")).alias("meet"))
     pairs = pairs.where("n >= meet").select("a", "b")
-    rest = long_list_pairs(at.where(F.col("m") > SHORT), reps, k, BLOCK)
-    rest = cut(_tidy(rest.unionByName(pairs)))
+    long = at.where(F.col("m") > SHORT)
+    if not long.isEmpty():
+        pairs = pairs.unionByName(long_list_pairs(long, reps, docs, percent, k, size, BLOCK))
+    rest = cut(_tidy(pairs))
     release(docs.sparkSession)
     more = cut(confirmed(rest, reps, docs, percent, k, size))
     if not more.isEmpty():

@@ -98,6 +98,23 @@ def test_hot_copies_meet_their_group(make):
     assert got(op.document_components(make(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("size", [2])
+def test_a_family_of_unlinked_members_sends_few_pairs(make, monkeypatch, size):
+    monkeypatch.setattr(op, "SHORT", 6)
+    monkeypatch.setattr(op, "TILE", 16)
+    monkeypatch.setattr(op, "BLOCK_HASHES", 4000, raising=False)
+    sent, confirmed = [], op.confirmed
+    monkeypatch.setattr(op, "confirmed", lambda pairs, *more: (sent.append(pairs.count()), confirmed(pairs, *more))[1])
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(160):  # two edited at random resemble each other by more than a half, mostly by less than 0.8
+        edited = set(r.sample(range(200), r.randint(1, 28 // size)))
+        rows.append((i, " ".join(f"x{r.randint(0, 10**9)}" if k in edited else w for k, w in enumerate(base)), "s"))
+    assert got(op.document_components(make(rows), size=size)) == brute(rows, size)
+    assert sent[-1] < len(rows)
+
+
 def test_block_comparison_equals_pair_by_pair():
     r = random.Random(4)
     rows = []
