@@ -17,32 +17,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from phasegrid.llm import exact_dedup, mixing, near_dedup, quality, sentencepiece_codec
-from phasegrid.llm.common import cut
+from phasegrid.llm.common import cut, packed
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance sample holds; labels come from the ``labels`` table."""
-    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return packed(quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.drop_copies(docs)
+    return packed(exact_dedup.drop_copies(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a resemblance of 0.8 of five-word shingles."""
-    return near_dedup.drop_near_copies(docs)
+    return packed(near_dedup.drop_near_copies(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents mixed to their sources' target weights, a row for each pass in which a document is drawn."""
-    return mixing.mixed_documents(docs)
+    return packed(mixing.mixed_documents(docs))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix."""
-    return sentencepiece_codec.encoded(docs)
+    return packed(sentencepiece_codec.encoded(docs))
 
 
 STAGES = [

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: single Latin-1 characters in one bit set, which is several times faster than a chain of ranges.
 SPACE = r" \t\n\x0B\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A cut may always have so many files.
+FILES = 64
 
 
 def whole(text: Column | str) -> Column:
@@ -63,10 +65,21 @@ def checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="phasegrid-checkpoint-"))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The same rows in at most an eighth of the shuffle partitions (``FILES``, or three a core, if that is more), to be written.
+
+    Hadoop's local file system starts ``chmod`` for each file and each checksum file that it writes. Until such a process
+    runs its program it maps all of its executor's memory, which is then counted twice where processes are added up; the
+    larger the input, the more files there are. Tasks take several partitions one after another: no rows are moved.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(FILES, 3 * spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 8))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, so that later stages neither recompute nor lose them."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return packed(df).checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ import sentencepiece
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from phasegrid.llm import mixing, quality, queries, sentencepiece_codec
+from phasegrid.llm import common, mixing, quality, queries, sentencepiece_codec
 from phasegrid.llm.near_dedup import shingle_set
 
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -90,6 +90,19 @@ def test_empty_documents(spark, tmp_path):
         assert r.doc_id == 3
 
 
+def test_cuts_and_results_have_few_files(spark, tmp_path):
+    """At 6 GB each cut had up to 600 files, for each of which the executors start two processes that map their memory."""
+    most = max(common.FILES, 3 * spark.sparkContext.defaultParallelism, common.shuffle_partitions(spark) // 8)
+    many = spark.range(0, 5 * most, 1, 5 * most)
+    few = common.cut(many)
+    assert few.rdd.getNumPartitions() == most and sorted(r.id for r in few.collect()) == list(range(5 * most))
+    assert common.cut(spark.range(0, 9, 1, 3)).rdd.getNumPartitions() == 3
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = [(i, " ".join(words[(i >> j) % 4] for j in range(8)), "en", "s", 0) for i in range(most)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5 * most)
+    assert corpus_pipeline.tokenise(spark, docs, "").rdd.getNumPartitions() == most
+
+
 def normal(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)
